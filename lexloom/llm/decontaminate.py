@@ -7,18 +7,24 @@ reaches a window, the window's words are hit. Only stretches of words whose pair
 items are streamed; elsewhere no window can end, so this loses nothing.
 
 The items are read in blocks of bounded size, one automaton and one pass a block; the passes' spans
-are merged by document. Null and empty texts have no words; null and wordless items have no window.
+are merged in the row. Null and empty texts have no words; null and wordless items have no window.
 Repeated documents are handled each, repeated items under each identifier. An empty benchmark hits
 nothing, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import map_rows, utf8
+from .common import STEP, utf8
 
 WINDOW = 13
 #: Words of items in one automaton; some 200 bytes each on the driver and in each worker.
@@ -170,55 +176,57 @@ def blocks(bench: DataFrame, key: str = "item_id", text: str = "text", limit: in
         yield part
 
 
-_SCHEMA = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+_SCHEMA = "n_words: long, spans: array<struct<start: int, end: int>>, items: array<string>"
 
 
-def _pass(docs: DataFrame, items, key: str, text: str, window: int, carry: tuple[str, ...]) -> DataFrame:
+def _pass(docs: DataFrame, items, text: str, window: int):
+    """The column of (n_words, spans, items) of one automaton; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast([(str(i), ws) for i, ws in items])
+    arrow = to_arrow_type(_parse_datatype_string(f"struct<{_SCHEMA}>"))
 
-    def make():
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = Automaton(shared.value, window)
-
-        def work(ids, texts, *more):
+        for texts in batches:
             out = []
-            for t in texts:
-                words = words_of(t)
-                spans, hit = found.hits(words)
-                out.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(hit)))
-            return ids, *([*c] for c in zip(*out)), *more
+            for at in range(0, len(texts), STEP):
+                for t in texts.slice(at, STEP).to_pylist():
+                    words = words_of(t)
+                    spans, hit = found.hits(words)
+                    out.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(hit)})
+            yield pa.array(out, arrow)
 
-        return work
-
-    kept = docs.select(F.col(key), utf8(text), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
-    kind = lambda c: kept.schema[c].dataType.simpleString()
-    return map_rows(kept, make, f"{key} {kind(key)}, {_SCHEMA}" + "".join(f", _c{i} {kind(f'_c{i}')}" for i in range(len(carry))))
+    return F.arrow_udf(run, f"struct<{_SCHEMA}>")(utf8(text))
 
 
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", limit: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``key``, n_words, spans of hit words, identifiers of the items found, ``carry``.
 
-    One block of items (the usual case) needs no shuffle. With more blocks each row is tagged, and
-    the spans of its passes are joined by (key, text digest).
+    Each block of items is one more pass over the row's text, and none shuffles.
     """
-    passes = [_pass(docs, b, key, text, window, carry) for b in blocks(bench, item, text, limit)] or [_pass(docs, [], key, text, window, carry)]
-    if len(passes) == 1:
-        return _named(passes[0], carry)
-    parts = [_pass(docs.withColumn("_sha", F.sha2(utf8(text), 256)), b, key, text, window, ("_sha",)) for b in blocks(bench, item, text, limit)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    met = every.groupBy(key, "_c0").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merge = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    met = met.select(F.col(key).alias("_k"), F.col("_c0").alias("_s"), "n_words", merge.alias("spans"), "items")
-    rows = docs.withColumn("_sha", F.sha2(utf8(text), 256))
-    return rows.join(met, rows[key].eqNullSafe(met["_k"]) & (rows["_sha"] == met["_s"])).select(rows[key], "n_words", "spans", "items", *carry)
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *(F.col(c).alias(f"_x_{c}") for c in carry))
+    names = []
+    for items in blocks(bench, item, text, limit):
+        names.append(f"_p{len(names)}")
+        rows = rows.withColumn(names[-1], _pass(docs, items, "_t", window))
+    if not names:
+        names = ["_p0"]
+        rows = rows.withColumn("_p0", _pass(docs, [], "_t", window))
+    spans, items = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items")
+    if len(names) > 1:
+        spans = merged(F.array_sort(F.flatten(F.array(*(f"{n}.spans" for n in names)))))
+        items = F.array_sort(F.array_distinct(F.flatten(F.array(*(f"{n}.items" for n in names)))))
+    return rows.select(F.col("_k").alias(key), F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"), *(F.col(f"_x_{c}").alias(c) for c in carry))
 
 
-def _named(df: DataFrame, carry) -> DataFrame:
-    return df.select(df.columns[0], "n_words", "spans", "items", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
+def merged(spans):
+    """Sorted spans with overlapping and touching ones joined."""
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] >= s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(F.slice(spans, F.lit(2), F.size(spans)), F.slice(spans, 1, 1), step))
 
 
 def digest(found: DataFrame, share: int = 20) -> DataFrame:
@@ -256,19 +264,19 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share: int =
     Returns the columns of ``docs``; ``n_chars`` follows the text where it is present.
     """
     names = docs.columns
-    full = digest(find(docs, bench, window, key, text, carry=tuple(c for c in names if c != key)).withColumn("_spans", F.col("spans")), share)
-    kept = full.where(~F.col("contaminated"))
-    fix = F.pandas_udf(_cut_series, "string")
-    kept = kept.withColumn("_new", F.when(F.col("n_hit") > 0, fix(F.when(F.col("n_hit") > 0, utf8(text)), F.when(F.col("n_hit") > 0, F.to_json("_spans")))).otherwise(F.col(text)))
+    carry = tuple(f"_keep_{i}" for i in range(len(names)))
+    rows = docs.select(F.col(key), F.col(text), *(F.col(f"`{n}`").alias(c) for n, c in zip(names, carry)))
+    found = find(rows, bench, window, key, text, carry=(text, *carry) if text != key else carry)
+    hit = F.size("spans") > 0
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
+    kept = found.where(~(hit & (share * words >= F.col("n_words"))))
+    new = F.arrow_udf(_cut, "string")(F.when(hit, utf8(text)), F.when(hit, F.to_json("spans")))
+    kept = kept.withColumn("_new", F.when(hit, new).otherwise(F.col(text)))
     cols = {text: F.col("_new")}
     if "n_chars" in names:
-        cols["n_chars"] = F.when(F.col("n_hit") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*(cols.get(c, F.col(c)).alias(c) for c in names))
-
-
-def _cut_series(texts, spans):
-    import json
+        cols["n_chars"] = F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(carry[names.index("n_chars")]))
+    return kept.select(*(cols.get(n, F.col(c)).alias(n) for n, c in zip(names, carry)))
 
-    import pandas as pd
 
-    return pd.Series([None if t is None or s is None else cut_spans(bytes(t), json.loads(s)) for t, s in zip(texts, spans)])
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else cut_spans(t, json.loads(s)) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())

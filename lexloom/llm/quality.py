@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, utf8
+from .common import STEP, utf8
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -41,7 +43,7 @@ class _Ids(dict):
             form = word.lower()
         h = zlib.crc32(form.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
@@ -117,8 +119,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, key: str = "d
     rows = rows.select("_o", "_k", "_y", "_t").repartition(1).sortWithinPartitions("_o", "_k", "_t")
 
     def fit(batches):
-        import pyarrow as pa
-
         kept: list[tuple[bytes, int]] = []
         model = Ftrl()
         for batch in batches:
@@ -138,17 +138,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, key: str = "d
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ``key``, held_out, score, predicted; ``carry`` names columns to keep beside them."""
+    """Per row: ``key``, held_out, score, predicted; ``carry`` names columns to keep beside them.
 
-    def make():
-        def work(ids, texts, *more):
-            s = [0.5 if model is None else model.score(t.decode("utf-8", "replace")) for t in texts]
-            return ids, s, [int(x >= threshold) for x in s], *more
+    Only the text goes to Python; the other columns wait in the JVM.
+    """
 
-        return work
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), STEP):
+                out += [0.5 if model is None else model.score(t.decode("utf-8", "replace")) for t in texts.slice(at, STEP).to_pylist()]
+            yield pa.array(out, pa.float64())
 
-    kept = docs.select(F.col(key), utf8(text), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
-    kind = lambda c: kept.schema[c].dataType.simpleString()
-    out = map_rows(kept, make, f"{key} {kind(key)}, score double, predicted int" + "".join(f", _c{i} {kind(f'_c{i}')}" for i in range(len(carry))))
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
-    return out.select(key, held, "score", "predicted", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
+    scored = docs.select(F.col(key), held, F.arrow_udf(run, "double")(utf8(text)).alias("score"), *(F.col(c).alias(f"_x_{c}") for c in carry))
+    return scored.select(key, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"_x_{c}").alias(c) for c in carry))

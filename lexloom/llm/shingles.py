@@ -16,7 +16,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h

@@ -176,11 +176,15 @@ def blocks(bench: DataFrame, key: str = "item_id", text: str = "text", limit: in
         yield part
 
 
-_SCHEMA = "n_words: long, spans: array<struct<start: int, end: int>>, items: array<string>"
+_SCHEMA = "n_words: long, spans: array<struct<start: int, end: int>>, items: array<string>, clean: string"
 
 
-def _pass(docs: DataFrame, items, text: str, window: int):
-    """The column of (n_words, spans, items) of one automaton; only the text goes to Python."""
+def _pass(docs: DataFrame, items, text: str, window: int, clean: bool = False):
+    """The column of (n_words, spans, items, clean) of one automaton; only the text goes to Python.
+
+    ``clean`` is the text without its spans where it has some, if asked for. The function counts as
+    non-deterministic, so that no filter on its result makes Spark run it twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast([(str(i), ws) for i, ws in items])
     arrow = to_arrow_type(_parse_datatype_string(f"struct<{_SCHEMA}>"))
 
@@ -192,30 +196,31 @@ def _pass(docs: DataFrame, items, text: str, window: int):
                 for t in texts.slice(at, STEP).to_pylist():
                     words = words_of(t)
                     spans, hit = found.hits(words)
-                    out.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(hit)})
+                    out.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(hit), "clean": cut_spans(t, spans) if clean and spans else None})
             yield pa.array(out, arrow)
 
-    return F.arrow_udf(run, f"struct<{_SCHEMA}>")(utf8(text))
+    return F.arrow_udf(run, f"struct<{_SCHEMA}>").asNondeterministic()(utf8(text))
 
 
-def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", limit: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", limit: int = BLOCK_WORDS, carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """Per row: ``key``, n_words, spans of hit words, identifiers of the items found, ``carry``.
 
-    Each block of items is one more pass over the row's text, and none shuffles.
+    With ``clean`` also ``clean``, the text without its spans, null where it has none. Each block of items is one more pass over the row's text, and none shuffles.
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *(F.col(c).alias(f"_x_{c}") for c in carry))
     names = []
     for items in blocks(bench, item, text, limit):
         names.append(f"_p{len(names)}")
-        rows = rows.withColumn(names[-1], _pass(docs, items, "_t", window))
+        rows = rows.withColumn(names[-1], _pass(docs, items, "_t", window, clean))
     if not names:
         names = ["_p0"]
-        rows = rows.withColumn("_p0", _pass(docs, [], "_t", window))
-    spans, items = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items")
+        rows = rows.withColumn("_p0", _pass(docs, [], "_t", window, clean))
+    spans, items, left = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items"), F.col(f"{names[0]}.clean")
     if len(names) > 1:
         spans = merged(F.array_sort(F.flatten(F.array(*(f"{n}.spans" for n in names)))))
         items = F.array_sort(F.array_distinct(F.flatten(F.array(*(f"{n}.items" for n in names)))))
-    return rows.select(F.col("_k").alias(key), F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"), *(F.col(f"_x_{c}").alias(c) for c in carry))
+        left = F.arrow_udf(_cut, "string").asNondeterministic()(F.when(F.size(spans) > 0, utf8("_t")), F.when(F.size(spans) > 0, F.to_json(spans)))
+    return rows.select(F.col("_k").alias(key), F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"), *([left.alias("clean")] if clean else []), *(F.col(f"_x_{c}").alias(c) for c in carry))
 
 
 def merged(spans):
@@ -252,9 +257,9 @@ def cut_spans(text: bytes, spans) -> str:
         at = len(clean) if stop < 0 else stop
         ends.append(at)
     out, last = [], 0
-    for s in spans:
-        out.append(text[last : begins[s["start"]]])
-        last = ends[s["end"] - 1]
+    for s in spans:  # (first word, end word)
+        out.append(text[last : begins[s[0]]])
+        last = ends[s[1] - 1]
     return b"".join([*out, text[last:]]).decode("utf-8", "replace")
 
 
@@ -266,12 +271,11 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share: int =
     names = docs.columns
     carry = tuple(f"_keep_{i}" for i in range(len(names)))
     rows = docs.select(F.col(key), F.col(text), *(F.col(f"`{n}`").alias(c) for n, c in zip(names, carry)))
-    found = find(rows, bench, window, key, text, carry=(text, *carry) if text != key else carry)
+    found = find(rows, bench, window, key, text, carry=carry, clean=True)
     hit = F.size("spans") > 0
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     kept = found.where(~(hit & (share * words >= F.col("n_words"))))
-    new = F.arrow_udf(_cut, "string")(F.when(hit, utf8(text)), F.when(hit, F.to_json("spans")))
-    kept = kept.withColumn("_new", F.when(hit, new).otherwise(F.col(text)))
+    kept = kept.withColumn("_new", F.when(hit, F.col("clean")).otherwise(F.col(carry[names.index(text)])))
     cols = {text: F.col("_new")}
     if "n_chars" in names:
         cols["n_chars"] = F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(carry[names.index("n_chars")]))
@@ -279,4 +283,4 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share: int =
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else cut_spans(t, json.loads(s)) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+    return pa.array([None if t is None else cut_spans(t, [(x["start"], x["end"]) for x in json.loads(s)]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())

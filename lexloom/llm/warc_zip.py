@@ -9,7 +9,7 @@ it knows.
 
 Of records with equal payloads (SHA-256 and length) the smallest identifier is a response, the
 others are revisits that refer to it. Null payloads are empty ones; null identifiers never become
-the response unless all are null. A file has a name of its own by run and task, and is put in its
+the response unless all are null; repeated rows of the smallest identifier are responses each. A file has a name of its own by run and task, and is put in its
 place by a rename, so a task that runs again only replaces it with the same records.
 """
 
@@ -182,7 +182,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     firsts = cut(firsts)
     if firsts.count() <= BROADCAST_ROWS:  # a checked size; beyond it the digests are shuffled
         firsts = F.broadcast(firsts)
-    rows = rows.join(firsts, F.col("_sha") == F.col("_f"), "left").select("_k", "_u", "_p", F.when(F.col("_first") != F.col("_k"), F.col("_first")).alias("_r"))
+    rows = rows.join(firsts, F.col("_sha") == F.col("_f"), "left").select("_k", "_u", "_p", F.when(~F.col("_first").eqNullSafe(F.col("_k")), F.col("_first")).alias("_r"))
 
     def run(batches):
         from pyspark import TaskContext

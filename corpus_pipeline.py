@@ -42,7 +42,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates (five-word shingles, 80 %) the smallest doc_id stays."""
     gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the mix with size, source_size, target and taken (words the mix takes)."""
     packed, carry = _packed(docs)
-    more = [m for m in ("size", "source_size", "target", "taken")]
+    more = ("size", "source_size", "target", "taken")
     mixed = mixing.mix(packed, carry=carry).where("taken > 0")
     names = [c if c.lower() not in more else f"document_{c}" for c in docs.columns]
     return _unpacked(mixed, carry, names, *more)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.dictionaries import NGRAM_STOPWORDS
-from ..functions.text import FRENCH_TOKEN
+from ..functions import dictionaries as dic
+from ..functions import predicates as p
+from ..functions import text as tx
+from ..functions.dialect import Duck
+from ..operators import tagging, web
 
 ORACLES = {}
 
@@ -14,11 +17,127 @@ def words(xs) -> str:
 
 _PUNCT = r"""[’!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 NGRAM_NORMAL = rf"trim(regexp_replace(regexp_replace(lower(text), '{_PUNCT}', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-TOKENS = f"list_filter(regexp_extract_all({NGRAM_NORMAL}, '{FRENCH_TOKEN}'), lambda t: length(t) >= 2 and t not in ({words(NGRAM_STOPWORDS)}))"
+TOKENS = f"list_filter(regexp_extract_all({NGRAM_NORMAL}, '{tx.FRENCH_TOKEN}'), lambda t: length(t) >= 2 and t not in ({words(dic.NGRAM_STOPWORDS)}))"
 
-ORACLES["ngrams_top"] = f"""
-with t as (select lang, {TOKENS} w from documents),
-g as (select lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) ngram from t, (values (2), (3)) s(n) where len(w) >= n),
-k as (select lang, n, ngram, count(*) "count" from g group by all having count(*) >= 2)
-select lang, n, ngram, "count" from k qualify row_number() over (partition by lang, n order by "count" desc, ngram) <= 200
+
+def _ngrams(source: str, by: str, sizes: str, top: int) -> str:
+    return f"""
+with t as (select {by}, {TOKENS} w from {source}),
+g as (select {by}, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) ngram from t, (values {sizes}) s(n) where len(w) >= n),
+k as (select {by}, n, ngram, count(*) "count" from g group by all having count(*) >= 2)
+select {by}, n, ngram, "count" from k qualify row_number() over (partition by {by}, n order by "count" desc, ngram) <= {top}
+"""
+
+
+ORACLES["ngrams_top"] = _ngrams("documents", "lang", "(2), (3)", 200)
+ORACLES["ngrams_by_role"] = _ngrams("conversations", "role", "(2)", 50)
+ORACLES["word_freq"] = rf"""
+select strip_accents(w) mot, count(*) occurrences from (select unnest(regexp_extract_all(lower(text), '\p{{L}}+')) w from documents) where w not in ({words(dic.NGRAM_STOPWORDS)}) group by 1
+"""
+ORACLES["cloud_weights"] = rf"""
+with k as (select w mot, count(*) occurrences from (select unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) w from documents) where length(w) >= 4 and w not in ({words(dic.NGRAM_STOPWORDS)}) and not regexp_full_match(w, '\p{{N}}+') group by 1
+  order by 2 desc, 1 limit 200)
+select mot, occurrences, occurrences / max(occurrences) over () weight from k
+"""
+_S = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(31), 'g'), '\n+', chr(31), 'g'), chr(31)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda s: length(s) >= 2)"
+SENTENCES = f"select doc_id, unnest(range(len(s)))::int pos, unnest(s) sentence from (select doc_id, {_S} s from documents)"
+ORACLES["sentence_split"] = SENTENCES
+ORACLES["block_chunks"] = r"""
+with d as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: length(s) >= 200) ps from documents),
+c as (select doc_id, case when len(ps) >= 3 then ps else list_filter(list_transform(range(greatest(0, (length(text) - 1) // 1200) + 1), lambda i: trim(substr(text, i * 1200 + 1, 1200), ' ' || chr(9) || chr(10) || chr(13))), lambda s: length(s) >= 200) end c from d)
+select doc_id, unnest(range(len(c)))::int pos, unnest(c) chunk from c
+"""
+ORACLES["line_dedup"] = r"""
+with l as (select doc_id, unnest(range(len(s)))::int pos, unnest(s) line from (select doc_id, string_split(text, chr(10)) s from documents))
+select doc_id, min(pos) pos, line from l where not regexp_full_match(line, '[ \t\r\f\x0B]*') group by doc_id, line
+"""
+ORACLES["text_dedup"] = f"select doc_id, text from documents qualify row_number() over (partition by lower({tx.squeeze(Duck, 'text')}) order by doc_id) = 1"
+ORACLES["idea_dedup"] = f"""
+with s as ({SENTENCES}), i as (select doc_id, pos, {tx.idea(Duck, 'sentence')} idea from s), k as (select *, {tx.idea_key(Duck, 'idea')} as "key" from i)
+select doc_id, pos, "key", idea from k where "key" <> '' qualify row_number() over (partition by doc_id, "key" order by pos) = 1
+"""
+_TAGS: dict[tuple[int, str], list[str]] = {}
+for _o, _t, _w, _j in sorted(dic.TAGS, key=lambda r: (r[0], r[3])):
+    _TAGS.setdefault((_o, _t), []).append(_w)
+
+
+def _tagged(of) -> str:
+    cases = (f"case {' '.join(f'when contains(phrase, {Duck.lit(w)}) then {Duck.lit(of(t, w))}' for w in ws)} end" for (_, t), ws in _TAGS.items())
+    return f"array_to_string(list_filter([{', '.join(cases)}], lambda x: x is not null), ';')"
+
+
+_LINES = f"select doc_id, pos, {tx.ascii_fold(Duck, 'line')} phrase from (select doc_id, unnest(range(len(s)))::int pos, unnest(s) line from (select doc_id, string_split(text, chr(10)) s from documents))"
+_TAG_LINES = f"select doc_id, pos, phrase, {_tagged(lambda t, w: t)} tags, {_tagged(lambda t, w: w)} motcle from ({_LINES}) where phrase <> ''"
+ORACLES["tag_lines"] = _TAG_LINES
+ORACLES["tag_counts"] = f"""
+with t as ({_TAG_LINES}), e as (select unnest(string_split(tags, ';')) tag from t where tags <> '' union all select '(all)' from t union all select '(untagged)' from t where tags = '')
+select tag, count(*) "count" from e group by tag
+"""
+_HITS = " union all ".join(f"select doc_id, pos, {Duck.lit(i)} id, {Duck.lit(label)} label, {tagging.keyword_hits(Duck, 'rewritten', kws)} s from n" for _, i, label, kws in dic.ONTOLOGY)
+_ONTOLOGY = f"""
+with b as ({SENTENCES}), m as (select doc_id, pos, {tx.ontology_normal(Duck, 'sentence')} normalized from b), n as (select *, {tagging.synonyms('normalized', dic.SYNONYMS, Duck)} rewritten from m),
+h as (select * from ({_HITS}) where s >= 1),
+a as (select doc_id, pos, string_agg(id, ';' order by s desc, label, id) ids, string_agg(s::varchar, ';' order by s desc, label, id) ss, arg_min(id, (-s, label, id)) dom, max(s) best from h group by all)
+"""
+ORACLES["ontology_sentences"] = _ONTOLOGY + """
+select n.doc_id, n.pos, normalized, rewritten, coalesce(ids, 'unclassified') all_categories, coalesce(ss, '0') all_scores, coalesce(dom, 'unclassified') dominant, coalesce(best, 0) dominant_score from n left join a using (doc_id, pos)
+"""
+ORACLES["ontology_stats"] = _ONTOLOGY + f""", c as (select id, count(*) n from h group by id union all select 'unclassified', (select count(*) from n) - (select count(*) from a)), t as (select count(*) n from b)
+select category_id, category_label, coalesce(c.n, 0)::bigint occurrences, coalesce(c.n, 0) / t.n share from (values {', '.join(f"('{i}', '{x}')" for _, i, x, _ in dic.ONTOLOGY)}, ('unclassified', 'Unclassified')) d(category_id, category_label) left join c on c.id = category_id, t
+"""
+ORACLES["sentence_flags"] = f"with s as ({SENTENCES}) select doc_id, pos, {', '.join(f'{f(Duck, chr(34) + 'sentence' + chr(34))} as {n}' for n, f in p.FLAGS.items())} from s"
+ORACLES["numeric_score"] = f"with s as ({SENTENCES}) select doc_id, pos, {p.score(Duck, 'sentence')} score, {p.alpha_words(Duck, 'sentence')} n_words, {p.digits(Duck, 'sentence')} n_digits from s where {p.number(Duck, 'sentence')}"
+ORACLES["numeric_best"] = f"""
+with s as ({SENTENCES}), k as (select doc_id, pos, sentence, {p.score(Duck, 'sentence')} score, {tx.numeric_key(Duck, 'sentence')} "key" from s where {p.number(Duck, 'sentence')}),
+b as (select doc_id, "key", min(pos) pos, arg_min(sentence, (-score, -length(sentence), pos)) sentence, max(score) score from k where score >= 1 group by all)
+select doc_id, pos, sentence, score from b qualify row_number() over (partition by doc_id order by pos) <= 400
+"""
+_HREFS = r"""select page_id, url, unnest(range(len(h)))::int pos, unnest(h) href from (select page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) h from pages)"""
+_LINKS = f"""
+with h as ({_HREFS}), r as (select page_id, url, pos, {tx.url_normal(Duck, '(' + web.resolved(Duck, 'url', 'href') + ')')} link from h),
+l as (select page_id, url, link, min(pos) pos from r where starts_with(link, 'http') group by all), c as (select page_id, pos, link, {web.link_class(Duck, 'link', 'url')} "class" from l)
+"""
+ORACLES["page_links"] = _LINKS + 'select page_id, pos, link, "class" from c'
+ORACLES["link_classes"] = _LINKS + 'select "class", count(*) n, count(distinct link) n_links from c group by 1'
+ORACLES["page_names"] = f"select page_id, {tx.url_normal(Duck, 'url')} normal, {tx.domain(Duck, 'url')} as domain, {tx.url_filename(Duck, 'url')} file, {tx.year_in(Duck, 'url')} as year, {tx.video_id(Duck, 'url')} video from pages"
+ORACLES["page_features"] = f"""
+with f as (select page_id, {web.news_score(Duck, 'html')} score, {web.page_year(Duck, 'html', 'url')} as year, {Duck.match('html', web.ANTIBOT)} blocked from pages)
+select page_id, score, score >= 3 is_news, year, blocked from f
+"""
+ORACLES["journal_unseen"] = "select page_id, url from pages where url not in (select url from pages where page_id % 2 = 1)"
+ORACLES["crawl_frontier"] = _LINKS.replace("with h", "with recursive h", 1) + f""", pg as (select page_id, {tx.domain(Duck, 'url')} url from pages),
+e as (select pg.url, {tx.domain(Duck, 'c.link')} link from pg join c using (page_id) union select url, lag(url) over (partition by page_id % 8 order by page_id) from pg),
+w(url, depth) as (select url, 0 from pg where page_id = 0 union select e.link, depth + 1 from w join e using (url) where depth < 9 and e.link is not null)
+select url, min(depth) depth from w group by url
+"""
+ORACLES["concat_by_source"] = """
+with j as (select conv_id, string_agg(text, chr(10) || repeat('=', 50) || chr(10) order by turn, text) joined from conversations group by conv_id)
+select conv_id, length(joined) n_chars, md5(joined) md5 from j
+"""
+ORACLES["sentiment_pct"] = rf"""
+with x(w, v) as (values {', '.join(f"('{w}', {v}::double)" for w, v in dic.SENTIMENT.items())}), s as ({SENTENCES}),
+t as (select doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+')) w from s), v as (select doc_id, pos, sum(v) t from t join x using (w) group by all),
+c as (select s.doc_id, coalesce(t, 0) / sqrt(coalesce(t, 0) * coalesce(t, 0) + 15) c from s left join v using (doc_id, pos)),
+p as (select doc_id, round(100.0 * count(*) filter (c > 0.05) / count(*), 2) positif, round(100.0 * count(*) filter (c < -0.05) / count(*), 2) negatif, round(100.0 * count(*) filter (c between -0.05 and 0.05) / count(*), 2) neutre from c group by doc_id)
+select doc_id, coalesce(positif, 0) positif, coalesce(negatif, 0) negatif, coalesce(neutre, 0) neutre from (select distinct doc_id from documents) left join p using (doc_id)
+"""
+ORACLES["language_guess"] = rf"""
+with x(lang_, w) as (values {', '.join(f"('{k}', '{w}')" for k, ws in dic.LANGUAGE_WORDS.items() for w in ws)}), t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) w from documents),
+k as (select doc_id, lang_, count(*) n from t join x using (w) group by all), g as (select doc_id, arg_min(lang_, (-n, lang_)) detected from k group by doc_id)
+select lang, detected, count(*) n from documents left join g using (doc_id) group by all
+"""
+ORACLES["tfidf_terms"] = rf"""
+with r as (select conv_id || ':' || turn id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w not in ({words(dic.TOPIC_STOPWORDS)})) t from conversations),
+u as (select id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) term from r), tf as (select id, term, count(*) tf from u group by all), d as (select term, count(*) df from tf group by term), n as (select count(*) n from r),
+w as (select id, term, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join d using (term), n where df >= 2 and df <= 0.9 * n), l as (select id, sqrt(sum(w * w)) l from w group by id)
+select term, round(sum(w / l), 4) weight, count(*) n from w join l using (id) group by term having count(*) >= 3
+"""
+ORACLES["title_names"] = f"""
+with t as (select doc_id, split_part(text, chr(10), 1) || '.pdf' line from documents), n as (select doc_id, {tx.title_part(Duck, 'line')} title, {tx.final_name(Duck, "'2024'", 'line')} name from t), r as (select *, row_number() over (partition by name order by doc_id) k from n)
+select doc_id, title, case when k > 1 then regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '\\.[^.]*$') else name end name from r
+"""
+ORACLES["merged_ranges"] = """
+with r as (select l_suppkey, l_partkey * 10 s, l_partkey * 10 + l_quantity::bigint e from lineitem), m as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) reach from r where s < e),
+i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) k from m)
+select l_suppkey, min(s) "start", max(e) "end" from i group by l_suppkey, k
 """

@@ -51,13 +51,6 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder through Hadoop's file system."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def utf8(column: str = "text") -> Column:
     """The text as bytes, null as empty: Python then decodes only where it needs to."""
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b"")).alias(column)

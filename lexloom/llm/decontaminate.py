@@ -7,7 +7,7 @@ reaches a window, the window's words are hit. Only stretches of words whose pair
 items are streamed; elsewhere no window can end, so this loses nothing.
 
 The items are read in blocks of bounded size, one automaton and one pass a block; the passes' spans
-are merged in the row. Null and empty texts have no words; null and wordless items have no window.
+are merged by document. Null and empty texts have no words; null and wordless items have no window.
 Repeated documents are handled each, repeated items under each identifier. An empty benchmark hits
 nothing, an empty table gives an empty result.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import STEP, utf8
 WINDOW = 13
 #: Words of items in one automaton; some 200 bytes each on the driver and in each worker.
 BLOCK_WORDS = 500_000
+#: The same words for the JVM, A-Z as letters.
+_JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -205,22 +208,27 @@ def _pass(docs: DataFrame, items, text: str, window: int, clean: bool = False):
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", limit: int = BLOCK_WORDS, carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """Per row: ``key``, n_words, spans of hit words, identifiers of the items found, ``carry``.
 
-    With ``clean`` also ``clean``, the text without its spans, null where it has none. Each block of items is one more pass over the row's text, and none shuffles.
+    With ``clean`` also ``clean``, the text without its spans, null where it has none. One block of
+    items (the usual case) takes one pass without a shuffle. With more, each block is a pass of its
+    own, so that a task holds one automaton; the passes yield rows with hits alone, which meet the
+    documents by (key, digest of the text).
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *(F.col(c).alias(f"_x_{c}") for c in carry))
-    names = []
-    for items in blocks(bench, item, text, limit):
-        names.append(f"_p{len(names)}")
-        rows = rows.withColumn(names[-1], _pass(docs, items, "_t", window, clean))
-    if not names:
-        names = ["_p0"]
-        rows = rows.withColumn("_p0", _pass(docs, [], "_t", window, clean))
-    spans, items, left = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items"), F.col(f"{names[0]}.clean")
-    if len(names) > 1:
-        spans = merged(F.array_sort(F.flatten(F.array(*(f"{n}.spans" for n in names)))))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*(f"{n}.items" for n in names)))))
+    parts = list(blocks(bench, item, text, limit))
+    if len(parts) <= 1:
+        rows = rows.withColumn("_p", _pass(docs, parts[0] if parts else [], "_t", window, clean))
+        n, spans, items, left = (F.col(f"_p.{c}") for c in ("n_words", "spans", "items", "clean"))
+    else:
+        rows = rows.withColumn("_s", F.sha2(utf8("_t"), 256))
+        hits = [rows.select("_k", "_s", _pass(docs, part, "_t", window).alias("_p")).where(F.size("_p.spans") > 0) for part in parts]
+        every = reduce(DataFrame.unionByName, hits).groupBy("_k", "_s").agg(F.array_sort(F.flatten(F.collect_list("_p.spans"))).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p.items")))).alias("_items"))
+        every = every.select(F.col("_k").alias("_k2"), F.col("_s").alias("_s2"), merged(F.col("_spans")).alias("_spans"), "_items")
+        rows = rows.join(every, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_s") == F.col("_s2")), "left")
+        n = F.regexp_count(F.coalesce(F.col("_t").cast("string"), F.lit("")), F.lit(_JVM_WORD)).cast("long")
+        spans = F.coalesce("_spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"))
+        items = F.coalesce("_items", F.expr("cast(array() as array<string>)"))
         left = F.arrow_udf(_cut, "string").asNondeterministic()(F.when(F.size(spans) > 0, utf8("_t")), F.when(F.size(spans) > 0, F.to_json(spans)))
-    return rows.select(F.col("_k").alias(key), F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"), *([left.alias("clean")] if clean else []), *(F.col(f"_x_{c}").alias(c) for c in carry))
+    return rows.select(F.col("_k").alias(key), n.alias("n_words"), spans.alias("spans"), items.alias("items"), *([left.alias("clean")] if clean else []), *(F.col(f"_x_{c}").alias(c) for c in carry))
 
 
 def merged(spans):

@@ -43,7 +43,7 @@ def date_only(d, x):
 
 def reference_fragment(d, x):
     many = f"{d.count(x, ';')} >= 3 and {d.count(x, '[(]')} >= 2"
-    return f"({d.match(x, any_word('et al'))} and {d.match(x, '[(]')} and {d.match(x, '[)]')} or {d.match(x, r'(^|[^A-Za-z0-9_à-ÿ])[a-zà-ÿ-]+,\s*[A-Z]\.')} or {many})"
+    return f"({d.match(x, any_word('et al'))} and {d.match(x, '[(]')} and {d.match(x, '[)]')} or {d.match(x, r'(^|[^A-Za-z0-9_à-ÿ])[-a-zà-ÿ]+, *[A-Z][.]')} or {many})"
 
 
 def layout_fragment(d, x):
@@ -71,7 +71,7 @@ def verb(d, x):
 
 
 def reference_entry(d, x):
-    return d.match(x, r"^\d+\.\s+[A-Z][a-zA-Z-]+")
+    return d.match(x, r"^[0-9]+[.]\s+[A-Z][-A-Za-z]+")
 
 
 def journal(d, x):
@@ -95,7 +95,7 @@ def page_counter(d, x):
 
 
 def section_title(d, x):
-    return f"(length({x}) <= 140 and ({d.match(x, r'^\d+(\.\d+){1,3}\s+[A-Z]')} or {d.match(x, rf'(?i)^(appendix|extended data|section|subsection|supplementary){E}')}))"
+    return f"(length({x}) <= 140 and ({d.match(x, r'^[0-9]+([.][0-9]+){1,3}\s+[A-Z]')} or {d.match(x, rf'(?i)^(appendix|extended data|section|subsection|supplementary){E}')}))"
 
 
 def too_short(d, x):
@@ -105,7 +105,7 @@ def too_short(d, x):
 def incomplete(d, x):
     """F19."""
     start = r"(?i)^(but|and|or|including|such as|while|whereas|with) "
-    return f"(length({x}) < 30 or {d.match(x, r'[:;,(\[]\s*$')} or {d.match(x, start)} or {d.match(x, rf'(?i){B}(including|that|where|whereas|which|while|compared with|respectively)\s*$')})"
+    return f"(length({x}) < 30 or {d.match(x, r'[(,:;\[]\s*$')} or {d.match(x, start)} or {d.match(x, rf'(?i){B}(including|that|where|whereas|which|while|compared with|respectively)\s*$')})"
 
 
 def continuation(d, x):

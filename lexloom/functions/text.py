@@ -43,7 +43,7 @@ def ontology_normal(d, x):
 def line_normal(d, x):
     """P5: line ends unified, blanks collapsed, at most one empty line, trimmed."""
     s = d.sub(x, r"\r\n?", "\n")
-    return d.sub(d.sub(d.sub(s, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")
+    return d.sub(d.sub(d.sub(s, r"[ \t]+", " "), "\n\n\n+", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")
 
 
 def bullets_off(d, x):
@@ -104,7 +104,7 @@ def year_in(d, x):
 
 def video_id(d, x):
     """Of at least six signs; the short form, ``v=``, shorts and embeds, in this order."""
-    return "coalesce(" + ", ".join(d.first(x, p + "([A-Za-z0-9_-]{6,})", 1) for p in (r"youtu\.be/", "[?&]v=", "/shorts/", "/embed/")) + ")"
+    return "coalesce(" + ", ".join(d.first(x, p + "([-0-9A-Z_a-z]{6,})", 1) for p in (r"youtu\.be/", "[?&]v=", "/shorts/", "/embed/")) + ")"
 
 
 def column(f, x: str, *more) -> Column:
@@ -121,7 +121,7 @@ def scientific(x) -> Column:
 def document_normal(x) -> Column:
     """Dashes and spaces unified, then P5's line rules and P7."""
     s = F.translate(c(x), "   −–—", "   ---")
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), r"[ \t]+", " "), "\n\n\n+", "\n\n")
     return F.btrim(scientific(s), F.lit(" \t\n\r"))
 
 
@@ -129,8 +129,8 @@ def markdown_off(x) -> Column:
     """Per line; headings stay as they are, table rules and images go, links and emphasis lose their signs."""
 
     def line(s):
-        t = F.regexp_replace(s, r"!\[[^\]]*\]\([^)]*\)", "")
-        t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]*\)", "$1")
+        t = F.regexp_replace(s, r"!\[[^]]*][(][^)]*[)]", "")
+        t = F.regexp_replace(t, r"\[([^]]+)][(][^)]*[)]", "$1")
         t = F.regexp_replace(F.regexp_replace(t, r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2"), r"\*([^*]+)\*", "$1")
         return F.when(s.rlike(r"^\s*#{1,6}\s"), s).otherwise(F.regexp_replace(t, "`([^`]+)`", "$1"))
 
@@ -160,7 +160,7 @@ def numeric_sentence(x) -> Column:
 
 def urls(x) -> Column:
     """P32."""
-    return F.regexp_extract_all(c(x), F.lit(r"https?://[^\s]+"), F.lit(0))
+    return F.regexp_extract_all(c(x), F.lit(r"https?://\S+"), F.lit(0))
 
 
 def url_line(x) -> Column:
@@ -189,4 +189,4 @@ def years(x) -> Column:
 
 def number_suffix(x) -> Column:
     """Null (last in an ascending order with nulls last) where there is none."""
-    return F.nullif(F.regexp_extract(c(x), r"(\d+)(?=\.[^.]+$)", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(c(x), r"(\d+)[.][^.]+$", 1), F.lit("")).cast("long")

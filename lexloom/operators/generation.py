@@ -18,9 +18,9 @@ Generator = Callable[[str], str]
 def extractive(prompt: str) -> str:
     """The offline stand-in: after the last ``TEXT:``, the first sentences with figures, else the first."""
     body = prompt.rpartition("TEXT:")[2]
-    parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", body) if s.strip()]
+    parts = [s.strip() for s in re.split(r"(?<=[!.?])\s+|\n+", body) if s.strip()]
     best = [s for s in parts if re.search(r"\d", s)][:3] or parts[:2]
-    return "\n".join(f"- {s}" for s in best)
+    return "\n".join(map("- {}".format, best))
 
 
 def generated(prompts: DataFrame, column: str, out: str, generate: Generator = extractive) -> DataFrame:
@@ -63,7 +63,7 @@ def ideas(chunks: DataFrame, generate: Generator = extractive, key: str = "doc_i
     """Ideas of each chunk, then what a second pass misses (an anti-join on D3's key), in order."""
     asked = chunks.withColumn("_p", F.concat(F.lit("List the distinct ideas as bullets.\nTEXT:"), text))
     first = generated(asked, "_p", "_a", generate).select(key, "chunk", F.posexplode(bullets("_a")).alias("pos", "idea"))
-    again = chunks.withColumn("_p", F.concat(F.lit("List ideas that are still missing.\nTEXT:"), F.reverse(F.split(text, r"(?<=[.!?])\s+")).cast("string")))
+    again = chunks.withColumn("_p", F.concat(F.lit("List ideas that are still missing.\nTEXT:"), F.reverse(F.split(text, r"(?<=[!.?])\s+")).cast("string")))
     second = generated(again, "_p", "_a", generate).select(key, "chunk", F.posexplode(bullets("_a")).alias("pos", "idea"))
     both = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
     both = both.withColumn("idea", tx.column(tx.idea, "idea")).withColumn("_k", F.expr(tx.idea_key(Spark, "idea"))).where("_k <> ''")

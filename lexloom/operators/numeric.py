@@ -14,7 +14,7 @@ from . import dedup, split
 def merge_broken(sentences: Column) -> Column:
     """A fold; the sentence so far is tested again with each next one."""
     has = lambda s: s.rlike(p.NUMBER)
-    open_ = lambda s: (F.length(s) < 30) | s.rlike(r"[:;,(\[]\s*$") | s.rlike(r"(?i)^(but|and|or|including|such as|while|whereas|with) ") | s.rlike(r"(?i)\b(including|that|where|whereas|which|while|compared with|respectively)\s*$")
+    open_ = lambda s: (F.length(s) < 30) | s.rlike(r"[(,:;\[]\s*$") | s.rlike(r"(?i)^(but|and|or|including|such as|while|whereas|with) ") | s.rlike(r"(?i)\b(including|that|where|whereas|which|while|compared with|respectively)\s*$")
     goes_on = lambda s: s.rlike(r"^\p{Ll}|^[)\],;:%]") | s.rlike(r"(?i)^(but|and|or|including|respectively|while|whereas|with) ")
 
     def step(acc, s):

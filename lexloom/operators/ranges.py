@@ -26,7 +26,7 @@ def overlaps(ranges: Column | str, start, end) -> Column:
     return F.exists(c(ranges), lambda r: (c(start) < r["end"]) & (c(end) > r["start"]))
 
 
-PROTECTED = [r"https?://\S+|www\.\S+", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?:[A-Za-z]:\\|/)[\w./\\-]+", r"</?[A-Za-z][^>]*>", r"\b(?=\w*\d)(?=\w*[A-Za-z])[\w-]+\b", r"\b\d+(?:[.,]\d+)?\s*(?:%|°C|[kmµn]?[gmlsVAW]|[kMG]?Hz)?", r"\S+\s*=\s*\S+"]
+PROTECTED = [r"https?://\S+|www\.\S+", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?:[A-Za-z]:\\|/)[\w./\\-]+", r"</?[A-Za-z][^>]*>", r"\b(?=\w*\d)(?=\w*[A-Za-z])[\w-]+\b", r"\b\d+(?:[,.]\d+)? ?(?:%|°C|[kmµn]?[gmlsVAW]|[kMG]?Hz)?", r"\S+\s*=\s*\S+"]
 
 
 def protected_ranges(text: str, terms: Iterable[str] = ()) -> list[tuple[int, int]]:

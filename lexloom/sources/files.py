@@ -58,7 +58,7 @@ def pptx_status(name: str, data: bytes) -> str:
             names = set(z.namelist())
             if bad := z.testzip():
                 return f"broken part {bad}"
-            missing = {"[Content_Types].xml", "_rels/.rels", "ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"} - names
+            missing = {f"{at}/{part}" for at, part in (("ppt", "presentation.xml"), ("_rels", ".rels"), ("ppt/_rels", "presentation.xml.rels"))} - names
             return f"missing {sorted(missing)[0]}" if missing else "ok" if any(n.startswith("ppt/slides/slide") for n in names) else "no slide"
     except zipfile.BadZipFile:
         return "no archive"
@@ -191,7 +191,7 @@ def html_markdown(html: str) -> str:
     w = Writer()
     w.feed(html)
     w.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(w.out)).strip()
+    return re.sub("\n\n\n+", "\n\n", "".join(w.out)).strip()
 
 
 def transcript(snippets) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEPARATOR = "\n" + "=" * 50 + "\n"
+SEPARATOR = f"\n{'=' * 50}\n"
 
 
 def csv(df: DataFrame, path: str, parts: int = 1) -> None:

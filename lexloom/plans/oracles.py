@@ -104,10 +104,10 @@ ORACLES["page_features"] = f"""
 with f as (select page_id, {web.news_score(Duck, 'html')} score, {web.page_year(Duck, 'html', 'url')} as year, {Duck.match('html', web.ANTIBOT)} blocked from pages)
 select page_id, score, score >= 3 is_news, year, blocked from f
 """
-ORACLES["journal_unseen"] = "select page_id, url from pages where url not in (select url from pages where page_id % 2 = 1)"
-ORACLES["crawl_frontier"] = _LINKS.replace("with h", "with recursive h", 1) + f""", pg as (select page_id, {tx.domain(Duck, 'url')} url from pages),
-e as (select pg.url, {tx.domain(Duck, 'c.link')} link from pg join c using (page_id) union select url, lag(url) over (partition by page_id % 8 order by page_id) from pg),
-w(url, depth) as (select url, 0 from pg where page_id = 0 union select e.link, depth + 1 from w join e using (url) where depth < 9 and e.link is not null)
+ORACLES["journal_unseen"] = f"select page_id, url from pages where url not in (select url from pages where {Duck.match('url', web.PAGING)})"
+ORACLES["crawl_frontier"] = _LINKS.replace("with h", "with recursive h", 1) + f""", pg as (select page_id, {tx.domain(Duck, 'url')} url, length(url) k from pages),
+e as (select pg.url, {tx.domain(Duck, 'c.link')} link from pg join c using (page_id) union select url, lag(url) over (partition by k order by page_id) from pg),
+w(url, depth) as (select min(url), 0 from pg union select e.link, depth + 1 from w join e using (url) where depth < 9 and e.link is not null)
 select url, min(depth) depth from w group by url
 """
 ORACLES["concat_by_source"] = """

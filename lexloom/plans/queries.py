@@ -20,7 +20,12 @@ QUERIES = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; where its scan has fewer tasks than the cluster has cores, its rows are spread.
+
+    Large tables have more splits than that and are read as they lie, without a shuffle.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def query(f):
@@ -169,18 +174,18 @@ def page_features(spark, sf_dir):
 
 @query
 def journal_unseen(spark, sf_dir):
-    """The pages whose address is in no journal row (here: the odd pages' addresses)."""
+    """The pages whose address is in no journal row (here: listing pages have been seen)."""
     pages = table(spark, sf_dir, "pages")
-    return web.unseen(pages.select("page_id", "url"), pages.where("page_id % 2 = 1").select("url"))
+    return web.unseen(pages.select("page_id", "url"), pages.where(F.col("url").rlike(web.PAGING)).select("url"))
 
 
 @query
 def crawl_frontier(spark, sf_dir):
-    """Steps from page 0 over links between sites' hosts."""
+    """Steps from the first address over links between hosts, and between pages of one title length."""
     links = web.links(table(spark, sf_dir, "pages"))
-    pages = table(spark, sf_dir, "pages").select("page_id", tx.column(tx.domain, "url").alias("url"))
-    edges = pages.join(links.select("page_id", tx.column(tx.domain, "link").alias("link")), "page_id").select("url", "link").union(pages.select("url", F.lag("url").over(W.partitionBy(F.col("page_id") % 8).orderBy("page_id")).alias("link"))).where("link is not null").distinct()
-    return web.frontier(edges, pages.where("page_id = 0").select("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", tx.column(tx.domain, "url").alias("url"), F.length("url").alias("k"))
+    edges = pages.join(links.select("page_id", tx.column(tx.domain, "link").alias("link")), "page_id").select("url", "link").union(pages.select("url", F.lag("url").over(W.partitionBy("k").orderBy("page_id")).alias("link"))).where("link is not null").distinct()
+    return web.frontier(edges, pages.agg(F.min("url").alias("url")))
 
 
 @query
@@ -214,7 +219,7 @@ def tfidf_terms(spark, sf_dir):
 def topics_nmf(spark, sf_dir):
     """A10, O3, L4."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    return topics.nmf(lexical.tfidf(rows, dic.TOPIC_STOPWORDS), terms=300, rounds=4)[1]
+    return topics.nmf(lexical.tfidf(rows, dic.TOPIC_STOPWORDS))[1]
 
 
 @query

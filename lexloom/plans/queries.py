@@ -219,7 +219,7 @@ def tfidf_terms(spark, sf_dir):
 def topics_nmf(spark, sf_dir):
     """A10, O3, L4."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    return topics.nmf(lexical.tfidf(rows, dic.TOPIC_STOPWORDS))[1]
+    return topics.nmf(lexical.tfidf(rows, dic.TOPIC_STOPWORDS), chunks=rows)[1]
 
 
 @query

@@ -3,6 +3,7 @@
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,24 @@ def test_statistics(spark):
     assert [r.detected for r in guess] == ["de", None]
 
 
+def test_topics_of_all_terms(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{j}", rng.random() + (j % 3 == i % 3)) for i in range(60) for j in rng.sample(range(90), 12)]
+    weights = spark.createDataFrame(rows, "doc_id long, term string, weight double")
+    chunks = spark.range(61).withColumnRenamed("id", "doc_id")
+    told = lambda held: {r.doc_id: (r.topic_id, r.confidence) for r in topics.nmf(weights, topics=3, chunks=chunks, held=held, block=32, rounds=6, tol=0)[1].collect()}
+    whole = told(1000)
+    assert len(whole) == 61 and whole[60] == (0, 0.0)  # each chunk is there, also one without terms
+    dense = np.zeros((60, 90))
+    for i, w, v in rows:
+        dense[i, int(w[1:])] = v
+    i, j = dense.nonzero()
+    w, h, used = topics.factors(topics.Held(i, j, dense[i, j], {"d": 60, "t": 90}), 3, 400, 1e-4, dense.sum() / (61 * 90), 42)
+    assert w.shape == (3, 60) and h.shape == (3, 90) and 8 < used < 400 and (h.max(0) > 0).all()  # all terms; ends by the tolerance
+    cells, single = told(0), told(1000)
+    assert all(cells[k][0] == single[k][0] and abs(cells[k][1] - single[k][1]) < 1e-6 for k in single)
+
+
 def test_generation(spark):
     dual = spark.createDataFrame([("### NUMERIC DATA\n- 5 %\n### IDEAS\n- idea\ntext",)], "x string").select(generation.two_sections("x").alias("r")).first().r
     assert (dual.numeric, dual.ideas) == (["5 %"], ["idea"])

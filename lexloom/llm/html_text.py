@@ -3,9 +3,11 @@
 The standard library's parser yields events; block-level tags cut the page into lines. Each line has
 a text-to-tag ratio; the ratios are smoothed with a Gaussian kernel and lines above a threshold form
 clusters. The clusters choose the content region: the ``article`` or ``main`` element with most
-clustered text or, without one, the deepest element that holds most of it. All lines of that region
+clustered text or, without one, the smallest element that holds all of it. All lines of that region
 are kept, short ones too, except those in menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments.
+forms, scripts, styles and reader comments. Class and id marks and forms only tell a part from the
+rest: such an element stays when it is or holds the chosen region, or holds most of its clustered
+text; where several such elements hold most of it (pages of widgets), their mark counts no more.
 
 Null, empty and text-free pages give an empty text. Unclosed tags end with their parents. Pages of
 any length are read whole; the stack of open elements is searched by counts, not by depth.
@@ -30,29 +32,40 @@ _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted "
     "related reply replies respond share sharing sidebar skyscraper social sponsor sponsored subscribe toolbar widget".split()
 )
+_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def is_boilerplate(tag: str, attrs) -> bool:
-    if tag in BOILERPLATE:
-        return True
+#: Least length of a line outside the clusters that counts as text, and least length for each of its tags.
+LEAD = (25, 10)
+#: Marks of an element that is dropped whatever it holds.
+HARD = frozenset(["hard"])
+
+
+def marks(tag: str, attrs) -> frozenset:
+    """Why an element may be boilerplate: HARD, or words of its class and id, or its being a form."""
+    if tag in BOILERPLATE and tag != "form":
+        return HARD
+    soft = {"<form>"} if tag == "form" else set()
     for name, value in attrs:
         value = value or ""
-        if name in ("class", "id") and tag not in ("body", "html", "main") and _MARKS.intersection(_SPLIT.split(value.lower())):
-            return True
-        if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            soft.update(_MARKS.intersection(_SPLIT.split(value.lower())))
+        if name == "role" and value.lower() == "form":
+            soft.add("<form>")
+        elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+            return HARD
+    return frozenset(soft)
 
 
 class Lines(HTMLParser):
-    """Lists ``lines`` as [text, tags, region, kept]; ``regions`` as [parent, tag]."""
+    """Lists ``lines`` as (text, tags, region); ``regions`` as (parent, tag, marks)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines, self.regions = [], [(-1, "")]
+        self.lines, self.regions = [], [(-1, "", frozenset())]
         self.stack = [("", 0, False)]  # tag, region, boilerplate
         self.open = Counter()
         self.parts, self.tags = [], 0
@@ -60,14 +73,14 @@ class Lines(HTMLParser):
     def cut(self):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            _, region, bad = self.stack[-1]
-            self.lines.append((text, self.tags, region, not bad))
+            self.lines.append((text, self.tags, self.stack[-1][1]))
             self.tags = 0
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        inline = tag in INLINE and not is_boilerplate(tag, attrs)
+        found = marks(tag, attrs)
+        inline = tag in INLINE and not found
         if not inline:
             self.cut()
             if tag not in VOID and self.open["p"] and tag != "p" or tag == "p":
@@ -76,9 +89,9 @@ class Lines(HTMLParser):
             return
         _, region, bad = self.stack[-1]
         if not inline:
-            self.regions.append((region, tag))
+            self.regions.append((region, tag, found))
             region = len(self.regions) - 1
-            bad = bad or is_boilerplate(tag, attrs)
+            bad = bad or bool(found)
         self.stack.append((tag, region, bad))
         self.open[tag] += 1
 
@@ -128,24 +141,68 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return [sum(k * values[i + d] for d, k in zip(range(-reach, reach + 1), kernel) if 0 <= i + d < n) / total for i in range(n)]
 
 
-def choose_region(lines, regions) -> int:
-    """The region whose lines are the content, by clusters of lines with a high text-to-tag ratio."""
-    ratios = [len(t) / max(1, tags) if kept else 0.0 for t, tags, _, kept in lines]
-    smoothed = smooth(ratios)
+def clustered(lines, kept) -> list[float]:
+    """The weight of each kept line: its length in a cluster of lines with a high text-to-tag ratio, little beside."""
+    smoothed = smooth([len(t) / max(1, tags) if k else 0.0 for (t, tags, _), k in zip(lines, kept)])
     mean = sum(smoothed) / len(smoothed)
     threshold = mean - 0.5 * math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
-    own = [0.0] * len(regions)
-    for (text, _, region, kept), x in zip(lines, smoothed):
-        if kept:
-            own[region] += len(text) if x >= threshold else 0.01 * len(text)
+    return [0.0 if not k else len(t) * (1 if x >= threshold else 0.01) for (t, _, _), k, x in zip(lines, kept, smoothed)]
+
+
+def choose(lines, regions, hard) -> tuple[int, list[bool]]:
+    """The region of the content and, of each region, whether it is in it and not dropped."""
+    weights = clustered(lines, [not hard[r] for _, _, r in lines])
+    every, plain, under, comment = [0.0] * len(regions), [0.0] * len(regions), [False] * len(regions), [False] * len(regions)
+    for (_, _, r), x in zip(lines, weights):
+        every[r] += x
+        plain[r] += x
     for r in range(len(regions) - 1, 0, -1):  # parents come first in the list
-        own[regions[r][0]] += own[r]
-    named = [r for r, (_, tag) in enumerate(regions) if tag in ("article", "main") and own[r] > 0]
-    if named:
-        return max(named, key=lambda r: (own[r], -r))
+        every[regions[r][0]] += every[r]
+        if not regions[r][2]:
+            plain[regions[r][0]] += plain[r]
+    for r in range(1, len(regions)):
+        above, tag, found = regions[r]
+        under[r] = under[above] or bool(found)
+        comment[r] = comment[above] or tag not in ("article", "main") and bool(found & _COMMENTS)
+    own = [p if 2 * p >= e else e for p, e in zip(plain, every)]  # without marked parts, unless they are most of it
+    named = [r for r, (_, tag, _) in enumerate(regions) if tag in ("article", "main") and not hard[r] and own[r] > 0]
+    named = [r for r in named if not comment[r]] or named  # readers' comments only if there's nothing else
+    clean = max((own[r] for r in named if not under[r]), default=0.0)
+    if clean and 2 * clean >= max(own[r] for r in named):  # an unmarked one is the content, unless a marked one is much longer
+        named = [r for r in named if not under[r]]
+    chosen = max(named, key=lambda r: (own[r], -r)) if named else 0
+    whole, lifted = every[chosen], frozenset()
+    while True:
+        words: list = [None] * len(regions)  # marks that drop a region; None outside the chosen one
+        words[chosen] = frozenset()
+        for r in range(chosen + 1, len(regions)):
+            if (above := words[regions[r][0]]) is not None:
+                found = regions[r][2] - lifted
+                words[r] = above | found if found and (found == HARD or 2 * every[r] <= whole) else above
+        cover: Counter = Counter()
+        kept = 0.0
+        for (_, _, r), x in zip(lines, weights):
+            if words[r] is not None:
+                kept += x * (not words[r])
+                for w in words[r] - HARD:
+                    cover[w] += x
+        if 2 * kept >= whole or not cover:
+            break
+        lifted |= {max(cover, key=lambda w: (cover[w], w))}
+    return chosen, [w is not None and not w for w in words]
+
+
+def all_clusters(lines, regions, inside) -> int:
+    """The smallest region, no paragraph, that holds all clustered lines, main headings and leads (lines with much text to their tags)."""
+    kept = [inside[r] for _, _, r in lines]
+    count = [0] * len(regions)
+    for (t, tags, r), x in zip(lines, clustered(lines, kept)):
+        count[r] += x >= len(t) or x > 0 and (regions[r][1] == "h1" or len(t) >= LEAD[0] and len(t) >= LEAD[1] * tags)
+    for r in range(len(regions) - 1, 0, -1):
+        count[regions[r][0]] += count[r]
     best = 0
     for r in range(1, len(regions)):
-        if own[r] >= 0.7 * own[0] and regions[r][1] != "p":
+        if count[r] == count[0] and regions[r][1] != "p":
             best = r
     return best
 
@@ -158,14 +215,22 @@ def extract(html: str) -> str:
     parser.close()
     parser.cut()
     lines, regions = parser.lines, parser.regions
-    if not any(kept for *_, kept in lines):
+    hard = [False] * len(regions)
+    for r in range(1, len(regions)):
+        hard[r] = hard[regions[r][0]] or regions[r][2] == HARD
+    if all(hard[r] for _, _, r in lines):
+        return ""
+    chosen, inside = choose(lines, regions, hard)
+    if not any(inside[r] for _, _, r in lines):
         return ""
-    chosen = choose_region(lines, regions)
-    inside = [False] * len(regions)
-    inside[chosen] = True
-    for r in range(chosen + 1, len(regions)):
-        inside[r] = inside[regions[r][0]]
-    return " ".join(text for text, _, region, kept in lines if kept and inside[region])
+    if not chosen:
+        chosen = all_clusters(lines, regions, inside)
+        within = [False] * len(regions)
+        within[chosen] = True
+        for r in range(chosen + 1, len(regions)):
+            within[r] = within[regions[r][0]]
+        inside = [a and b for a, b in zip(inside, within)]
+    return " ".join(text for text, _, r in lines if inside[r])
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -262,6 +262,23 @@ def test_html_text(spark):
     assert got[6].text.startswith("short long line") and "menu" not in got[6].text and got[6].n_chars == len(got[6].text)
 
 
+@pytest.mark.parametrize("page", [
+    '<article class="post has-sidebar">{}<div class="sidebar">Aside</div></article><article class="card"><p>Teaser</p></article>',
+    '<article class="comments-open">{}</article><div class="comments"><article class="comment"><p>Reader words</p></article></div>',
+    '<div class="content-with-sidebar"><div>{}</div><div class="sidebar"><p>Aside</p></div></div>',
+    '<div class="elementor"><div class="elementor-widget a">{0}</div><div class="elementor-widget sidebar">Aside</div></div>',
+    '<form action="/"><div class="menu">Menu</div><div>{}</div></form>',
+    '<div class="page">{}</div><div class="menu">Menu</div>',
+])
+def test_html_text_loses_no_article(page):
+    parts = ["Heading", "Lead of the text in a few words", *(f"Sentence {i} goes on " * 12 for i in range(4))]
+    body = f"<h1>{parts[0]}</h1><p>{parts[1]}</p><div class=body>" + "".join(f"<p>{p}</p>" for p in parts[2:]) + "</div>"
+    assert html_text.extract(page.format(body)) == " ".join(" ".join(parts).split())
+    if "elementor" in page:
+        widgets = "</div><div class='elementor-widget a'>".join(f"<p>{p}</p>" for p in parts)
+        assert html_text.extract(page.format(widgets)) == " ".join(" ".join(parts).split())
+
+
 def brute_equal(rows_):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows_]
     out = []

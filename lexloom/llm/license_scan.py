@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; the
-sequence of their identifiers is then matched against ordered rules, the first match of each
-licence counting. Null and empty texts match nothing; a sentence that occurs twice is listed twice.
+A text is cut into pieces at line ends and sentence marks; a piece, or a run of pieces that only
+line ends, colons and semicolons of one paragraph part, is normalised and looked up among known
+licence sentences, so that wrapped texts and comments are read too. The sequence of identifiers is
+then matched against ordered rules, the first match of each licence counting. Null and empty texts
+match nothing; a sentence that occurs twice is listed twice.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ SENTENCES = {
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "all-rights": "all rights reserved",
 }
+#: Other wordings, in normal form -> identifier.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license": "apache-2-notice",
+}
 #: Ordered: (rule, licence, identifiers that must follow one another, others between allowed).
 RULES = [
     ("mit-text", "MIT", ("mit-grant", "mit-condition")),
@@ -52,7 +58,8 @@ RULES = [
     ("bsd-2", "BSD-2-Clause", ("bsd-redistribute", "bsd-source")),
     ("reserved", "LicenseRef-all-rights-reserved", ("all-rights",)),
 ]
-_CUT = re.compile(r"\n+|(?<=[.!?:;])[\x20\t\r\f\v]+")
+_CUT = re.compile(r"(?<=[.!?:;])[\x20\t\r\f\v]+")
+_COMMENT = re.compile(r"[\x20\t]*(?:dnl|rem)(?=[\x20\t\r]|$)")
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -60,12 +67,46 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
-def identify(text: str, known: dict[str, str], triggers: tuple[str, ...]) -> list[str]:
+def starts_of(known: dict[str, str]) -> dict[str, list[str]]:
+    """Known sentences by their first word."""
+    out: dict[str, list[str]] = {}
+    for sentence in known:
+        out.setdefault(sentence.split(" ", 1)[0], []).append(sentence)
+    return out
+
+
+def identify(text: str, known: dict[str, str], triggers: tuple[str, ...], starts: dict[str, list[str]] | None = None) -> list[str]:
     """Identifiers of the known sentences of a text, in order."""
     low = text.lower()
     if not any(t in low for t in triggers):
         return []
-    return [i for s in _CUT.split(low) if (i := known.get(normalise(s)))]
+    starts = starts_of(known) if starts is None else starts
+    pieces, ended = [], []  # ended: no sentence goes on behind the piece
+    for line in low.split("\n"):
+        bare = _COMMENT.sub("", line)
+        some = False
+        for reading in _CUT.split(bare):
+            if piece := normalise(reading):
+                some = True
+                pieces.append(piece)
+                ended.append(reading.rstrip()[-1] in ".!?")
+        if not some and ended:
+            ended[-1] = True  # a line without words ends a paragraph
+    out = []
+    for i, piece in enumerate(pieces):
+        found = []
+        left = [s for s in starts.get(piece.split(" ", 1)[0], ()) if s == piece or s.startswith(piece + " ")]
+        run, at = piece, i
+        while left:
+            if run in known and known[run] not in found:
+                found.append(known[run])
+            if ended[at] or at + 1 == len(pieces):
+                break
+            at += 1
+            run += " " + pieces[at]
+            left = [s for s in left if s == run or s.startswith(run + " ")]
+        out += found
+    return out
 
 
 def match(ids: list[str], rules=RULES) -> list[tuple[str, str]]:
@@ -89,13 +130,14 @@ def triggers_of(sentences: dict[str, str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, key: str = "doc_id", text: str = "text", variants: dict[str, str] = VARIANTS) -> DataFrame:
     """Per row: ``key``, sentence_ids and rules and licenses as arrays in order of text and rules."""
-    known, triggers = {v: k for k, v in sentences.items()}, triggers_of(sentences)
+    known = {v: k for k, v in sentences.items()} | {v: k for v, k in variants.items() if k in sentences}
+    triggers, starts = triggers_of({v: v for v in known}), starts_of(known)
 
     def make():
         def work(ids, texts):
-            found = [identify(t.decode("utf-8", "replace"), known, triggers) for t in texts]
+            found = [identify(t.decode("utf-8", "replace"), known, triggers, starts) for t in texts]
             hits = [match(f, rules) for f in found]
             return ids, found, [[r for r, _ in h] for h in hits], [[x for _, x in h] for h in hits]
 

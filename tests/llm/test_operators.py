@@ -66,6 +66,23 @@ def test_license_sentences(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    marks = [("", ""), ("# ", ""), (" * ", ""), ("// ", ""), ("dnl ", ""), ("; ", "")]
+    mit = "Copyright (c) 2020 A\n\n" + textwrap.fill("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", 60)
+    mit += "\n\n" + textwrap.fill("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 60)
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    gpl = textwrap.fill("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 60)
+    bsd = "Copyright (c) 2020, A. All rights reserved.\n\n" + textwrap.fill("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", 60) + "\n\n"
+    bsd += textwrap.fill("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", 60)
+    texts = [(t, n) for t, n in [(mit, "MIT"), (apache, "Apache-2.0"), (gpl, "GPL-3.0-or-later"), (bsd, "BSD-2-Clause,LicenseRef-all-rights-reserved")]]
+    rows_ = [(f"{n} {i}", "\n".join((a + line).rstrip() for line in t.split("\n"))) for t, n in texts for i, (a, _) in enumerate(marks)]
+    got = license_scan.scan(spark.createDataFrame([*rows_, ("none 0", "the mit\n\nlicense. MIT.\nLicense")], "doc_id string, text string")).collect()
+    assert [r.doc_id for r in got if ",".join(r.licenses) != r.doc_id.rsplit(" ", 1)[0].replace("none", "")] == []
+    assert {tuple(r.sentence_ids) for r in got if r.doc_id.startswith("Apache")} == {("apache-2-notice", "apache-2-comply", "apache-2-copy")}
+
+
 def test_quality_learns_and_ignores_held_out(spark, empty):
     rng = random.Random(5)
     good = [(i, " ".join(words(rng, 40)), 1) for i in range(300)]

@@ -212,7 +212,7 @@ def tfidf_terms(spark, sf_dir):
     """J7, A9 on conversation turns, the weights summed by term."""
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
     w = lexical.tfidf(rows, dic.TOPIC_STOPWORDS)
-    return w.groupBy("term").agg(F.round(F.sum("weight"), 4).alias("weight"), F.count("*").alias("n")).where("n >= 3")
+    return w.groupBy("term").agg(F.round(F.sum("weight"), 4).alias("weight"), F.count("*").alias("n"))
 
 
 @query

@@ -160,6 +160,14 @@ def test_topics_of_all_terms(spark):
     assert all(cells[k][0] == single[k][0] and abs(cells[k][1] - single[k][1]) < 1e-6 for k in single)
 
 
+def test_tfidf_terms_are_all_there(spark, tmp_path):
+    from lexloom.plans.queries import QUERIES
+
+    rows = [("c", i, "u", x) for i, x in enumerate(["zebra alpha", "zebra beta", "alpha beta", "alpha gamma", "delta epsilon", "beta iota"])]
+    spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {(r.term, r.n) for r in QUERIES["tfidf_terms"](spark, str(tmp_path)).collect()} == {("zebra", 2), ("alpha", 3), ("beta", 3)}
+
+
 def test_generation(spark):
     dual = spark.createDataFrame([("### NUMERIC DATA\n- 5 %\n### IDEAS\n- idea\ntext",)], "x string").select(generation.two_sections("x").alias("r")).first().r
     assert (dual.numeric, dual.ideas) == (["5 %"], ["idea"])

@@ -2,7 +2,7 @@
 
 Each distinct shingle set has a MinHash signature of K = 64 coordinates. A link needs a Jaccard
 similarity of ``share`` per cent; of two such sets, fewer than MATCHES = 36 coordinates agree with a
-probability below 2e-6 at 80 %, less above it. Sets are posted under their coordinate-value pairs,
+probability below 4.3e-6 at 80 %, less above it. Sets are posted under their coordinate-value pairs,
 the rarest first: two sets that agree in 36 of 64 pairs share one of their 29 rarest (prefix
 merging), so the long posting lists are skipped. Pairs that no other set has can't collide and only
 use up the prefix. Within a list, collisions are counted on whole signatures; pairs above the

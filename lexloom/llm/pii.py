@@ -26,6 +26,8 @@ _DIGIT = re.compile("[0-9]")
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GE": 22, "GR": 27, "HR": 21, "HU": 28,
     "IE": 22, "IL": 23, "IS": 26, "IT": 27, "KZ": 20, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TN": 24, "TR": 26, "UA": 29,
+    "AZ": 28, "BH": 22, "BI": 27, "BY": 28, "CR": 22, "DJ": 27, "DO": 28, "EG": 29, "FK": 18, "FO": 18, "GI": 23, "GL": 18, "GT": 28, "HN": 28, "IQ": 23, "JO": 30, "KW": 30, "LB": 28, "LC": 32, "LY": 25, "MN": 20, "MR": 27, "MU": 30, "NI": 28, "OM": 23,
+    "PK": 24, "PS": 29, "QA": 29, "RU": 33, "SC": 31, "SD": 18, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 #: The score before context: how much the pattern with its checksum proves.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}

@@ -376,6 +376,11 @@ def bench_rows():
     return [(i, t) for i, t in enumerate(long)] + [(20, None), (21, ""), (22, "!!"), (23, long[0]), (24, "Solo"), (25, "x-y z")]
 
 
+@pytest.mark.parametrize("iban", ["QA58DOHB00001234567890ABCDEFG", "XK051212012345678906", "PK36SCBL0000001123456702", "SM86U0322509800000000270100", "LB62 0999 0000 0001 0019 0122 9114", "GI75NWBK000000007099453"])
+def test_iban_of_the_whole_registry(iban):
+    assert ("iban", 3, 3 + len(iban)) in pii.find(f"to {iban}.")
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BLOCK_WORDS, 40])
 @pytest.mark.parametrize("window", [13, 3])
 def test_decontaminate(spark, limit, window):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import RULES, SENTENCES
-from .mixing import GOLDEN, SLOTS
+from .mixing import FINE, GOLDEN
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -60,15 +60,17 @@ ratio as (select *, 3 * total / w r from src),
 levels as (select *, (sum(total) over () - coalesce(3 * sum(total) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) lv from ratio window b as (order by r, s rows between unbounded preceding and 1 preceding)),
 target as (select s, total, least((3 * total)::double, (select arg_min(lv, (r, s)) from levels where lv <= r) * w) t from levels),
 need as (select *, least(floor(t + 0.5)::bigint, 3 * total) need from target),
-block as (select *, ceil(sum(need) over () / {SLOTS}::double) b, sum(need) over () every, sum(need) over (order by s rows unbounded preceding) upto from need),
-span as (select *, floor((upto - need) / every * 4294967296.0) lo, floor(upto / every * 4294967296.0) hi from block where need > 0),
-points as (select n, (n * {GOLDEN}) % 4294967296 p from range({SLOTS}) t(n)),
-had as (select s, count(*) n from points join span on p >= lo and p < hi group by s),
-took as (select k.s, k.total, k.t, case when k.need > 0 then least(k.need, greatest(k.need, coalesce(h.n, 0) * k.b)) else 0 end::bigint took from block k left join had h on k.s = h.s),
-pos as (select d.*, coalesce(sum(size) over (partition by s order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) a from d)
-select doc_id, size, total source_size, t target,
-  (case when total > 0 then (took // total) * size + greatest(0, least(size, took - (took // total) * total - a)) else 0 end)::bigint taken
-from pos join took using (s)
+tier as (select *, length(to_hex(need)) tier from need where need > 0),
+block as (select *, greatest(1, min(need) over g // {FINE}) b, sum(need) over g every, sum(need) over (partition by tier order by s rows unbounded preceding) upto from tier window g as (partition by tier)),
+span as (select *, floor((upto - need) / every * 4294967296.0) lo, floor(upto / every * 4294967296.0) hi from block),
+sizes as (select distinct tier, (2 * every + b) // (2 * b) n from block),
+points as (select tier, i, (i * {GOLDEN}) % 4294967296 p from (select tier, unnest(range(n::bigint)) i from sizes)),
+ranks as (select s, total, b, i, row_number() over (partition by s order by i) - 1 r, (total + b - 1) // b blocks from points p join span k on p.tier = k.tier and p.p >= k.lo and p.p < k.hi),
+slots as (select s, r % blocks k, count(*) times, min(i) f, (r % blocks) * b a, least((r % blocks + 1) * b, total) z from ranks where r < 3 * blocks group by all),
+pos as (select d.*, coalesce(sum(size) over (partition by s order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) a, row_number() over () rid from d),
+got as (select p.rid, sum(times * (least(p.a + p.size, k.z) - greatest(p.a, k.a))) taken, arg_min(k.f, k.k) f from pos p join slots k on p.s = k.s and k.a < p.a + p.size and k.z > p.a where p.size > 0 group by p.rid)
+select doc_id, size, total source_size, t target, coalesce(taken, 0)::bigint taken, g.f::bigint first_slot
+from pos join need using (s) left join got g using (rid)
 """
 
 OP8 = r"""

@@ -214,7 +214,8 @@ def test_token_counts_equal_the_library(spark, docs):
     assert token_count.count_tokens(docs, path).count() == docs.count()
 
 
-def brute_mix(rows_, slots):
+def brute_mix(rows_, fine=1024, golden=mixing.GOLDEN):
+    """Slot by slot and token by token: (size, total, target, taken, first slot) of each row."""
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows_]
     names = sorted({r[3] for r in rows_}, key=lambda s: (s is None, s or ""))
     total = {s: sum(n for n, r in zip(size, rows_) if r[3] == s) for s in names}
@@ -230,36 +231,86 @@ def brute_mix(rows_, slots):
             target[s] = 3.0 * total[s]
             left -= 3 * total[s]
             free.remove(s)
-    return size, total, target
-
-
-def test_mixing(docs, empty):
-    got = mixing.mix(docs, slots=64).collect()
-    size, total, target = brute_mix(corpus(), 64)
-    source = {i: r for i, r in enumerate(corpus())}
-    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(r[0]), n) for r, n in zip(source.values(), size))
-    of = {r[0]: r[3] for r in corpus() if r[0] is not None}
-    taken = dict.fromkeys(total, 0)
-    for r in got:
-        assert 0 <= r.taken <= 3 * r["size"]
-        s = of.get(r.doc_id)
-        assert r.source_size == total[s] and abs(r.target - target[s]) < 1e-6
-        taken[s] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in total)
-    assert rows(mixing.mix(docs, slots=64)) == rows(mixing.mix(docs.repartition(7), slots=64))
-    assert mixing.mix(empty).count() == 0
-    assert rows(mixing.mix(docs, slots=64).select("doc_id", "taken")) == rows(mixing.mix(docs, slots=64, carry=("source",)).select("doc_id", "taken"))
-
-
-def test_schedule_is_well_spread(spark):
-    per = spark.createDataFrame([("a", 6000), ("b", 3000), ("c", 1000), ("d", 0)], "_source string, _need long")
-    plan = mixing.schedule(per, 1000).orderBy("slot").collect()
-    assert {s: sum(r.tokens for r in plan if r._source == s) for s in "abcd"} == {"a": 6000, "b": 3000, "c": 1000, "d": 0}
-    for n in (50, 200, 700):  # each beginning of the schedule has the sources in proportion
-        first = [r._source for r in plan[:n]]
-        assert abs(first.count("a") - 0.6 * n) <= 4 and abs(first.count("c") - 0.1 * n) <= 4
-    ranks = [r["rank"] for r in plan if r._source == "b"]
-    assert ranks == list(range(len(ranks)))
+    need = {s: min(int(target[s] + 0.5), 3 * total[s]) for s in names}
+    tiers = {}
+    for s in names:
+        if need[s]:
+            tiers.setdefault(len(f"{need[s]:x}"), []).append(s)
+    streams = {}
+    for s in names:
+        own = sorted((hashlib.md5(b"" if r[0] is None else str(r[0]).encode()).hexdigest(), r[0] is not None, r[0] or 0, n, i) for i, (r, n) in enumerate(zip(rows_, size)) if r[3] == s)
+        streams[s] = [x[-1] for x in own for _ in range(x[3])]
+    taken, first = [0] * len(rows_), [None] * len(rows_)
+    for members in tiers.values():
+        whole, block = sum(need[s] for s in members), max(1, min(need[s] for s in members) // fine)
+        edges, at = [], 0
+        for s in members:
+            edges.append((int(at / whole * 2.0**32), int((at + need[s]) / whole * 2.0**32), s))
+            at += need[s]
+        rank = dict.fromkeys(members, 0)
+        for slot in range((2 * whole + block) // (2 * block)):
+            p = slot * golden % 2**32
+            s = next((s for lo, hi, s in edges if lo <= p < hi), ...)
+            if s is ...:
+                continue
+            blocks = -(-total[s] // block)
+            if rank[s] < 3 * blocks:
+                begin = rank[s] % blocks * block
+                for j, i in enumerate(streams[s][begin : begin + block]):
+                    if first[i] is None and (j or not begin or streams[s][begin - 1] != i):
+                        first[i] = slot
+                    taken[i] += 1
+            rank[s] += 1
+    return size, total, target, taken, first
+
+
+@pytest.mark.parametrize("fine", [1024, 2])
+def test_mixing_token_by_token(docs, empty, fine):
+    rows_ = corpus()
+    size, total, target, taken, first = brute_mix(rows_, fine)
+    want = sorted((repr(r[0]), n, total[r[3]], round(target[r[3]], 6), t, f) for r, n, t, f in zip(rows_, size, taken, first))
+    told = lambda df: sorted((repr(r.doc_id), r["size"], r.source_size, round(r.target, 6), r.taken, r.first_slot) for r in df.collect())
+    got = told(mixing.mix(docs, fine=fine))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] is None for g in got] == [g[4] == 0 for g in got] and [g for g in got if g[4]] == [w for w in want if w[4]]
+    assert all(t <= 3 * n for n, t in zip(size, taken))
+    if fine < 1024:
+        return
+    for s in total:
+        assert abs(sum(t for t, r in zip(taken, rows_) if r[3] == s) - target[s]) <= 0.01 * target[s] + 3
+    assert told(mixing.mix(docs.repartition(7), fine=fine)) == got
+    assert mixing.mix(empty).count() == 0 and mixing.sequence(empty).count() == 0
+    assert told(mixing.mix(docs, carry=("source",))) == got
+
+
+def test_mixing_depends_on_its_points(docs, monkeypatch):
+    taken = lambda: rows(mixing.mix(docs, fine=16).select("doc_id", "taken"))
+    good = taken()
+    monkeypatch.setattr(mixing, "GOLDEN", 3)  # no low discrepancy: the slots go to few sources
+    assert taken() != good
+
+
+def test_mix_in_order(docs):
+    """The sequence reads what ``mix`` counts, and each beginning of it has the sources in proportion."""
+    seq = mixing.sequence(docs, fine=64)
+    assert rows(seq.groupBy("doc_id").agg(F.sum("words")).where("doc_id <> 5")) == rows(mixing.mix(docs, fine=64).where("taken > 0 and doc_id <> 5").select("doc_id", F.col("taken").cast("long")))
+    read = [(r.source, r.words) for r in seq.orderBy("at", "tier", "slot", "first").collect()]
+    whole = {s: sum(n for x, n in read if x == s) for s, _ in read}
+    for part in (0.1, 0.3, 0.7):
+        begun, had = {}, 0
+        for s, n in read:
+            if had >= part * sum(whole.values()):
+                break
+            begun[s] = begun.get(s, 0) + n
+            had += n
+        assert all(abs(begun.get(s, 0) - part * n) <= 0.03 * sum(whole.values()) for s, n in whole.items())
+
+
+def test_many_sources(spark):
+    """Some thousand sources of very different sizes: each comes near its target."""
+    docs = spark.range(4000).selectExpr("id doc_id", "repeat('w ', cast(1 + pow(1.003, id) as int) % 5000 + 1) text", "concat('s', id % 1500) source")
+    got = mixing.mix(docs).groupBy("source_size", "target", F.col("doc_id") % 1500).agg(F.sum("taken").alias("t")).collect()
+    assert len(got) == 1500 and all(abs(r.t - r.target) <= 0.01 * r.target + 3 for r in got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head>
@@ -297,31 +348,56 @@ def test_html_text_loses_no_article(page):
 
 
 def brute_equal(rows_):
+    """(id, owner, rows of the text, SHA-256) of each row."""
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows_]
     out = []
     for r, t in zip(rows_, norm):
         ids = [x[0] for x, u in zip(rows_, norm) if u == t]
-        least = min((i for i in ids if i is not None), default=None)
-        out.append((r[0], least, len(ids), r[0] == least if least is not None else True, hashlib.sha256(t.encode()).hexdigest()))
+        out.append((r[0], min((i for i in ids if i is not None), default=None), len(ids), hashlib.sha256(t.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("budget", [exact_dedup.BUDGET, 2000])
 def test_exact_dedup(docs, empty, budget):
-    assert rows(exact_dedup.dedup(docs, budget=budget)) == brute_equal(corpus())
+    got = exact_dedup.dedup(docs, budget=budget, carry=("score", "kept")).collect()
+    assert sorted(((r[0], r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute_equal(corpus())
+    kept = [(r[0], r.text_sha256) for r in got if r[3]]
+    assert len(kept) == len({r.text_sha256 for r in got})  # one row of each text, repeated rows too
+    assert sorted(kept, key=repr) == sorted({(w[1], w[3]) for w in brute_equal(corpus())}, key=repr)
     assert exact_dedup.dedup(empty).count() == 0
 
 
-def test_patricia_trie():
+def test_bytes_decide(spark):
+    """In one trie with everything, strings that share length and all but their last byte stay apart."""
+    texts = ["same start " * 50 + c for c in "abcabca"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = exact_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {0: (0, 3), 3: (0, 3), 6: (0, 3), 1: (1, 2), 4: (1, 2), 2: (2, 2), 5: (2, 2)}
+    trie = exact_dedup.Patricia()
+    assert len({id(trie.insert(t.encode(), exact_dedup.owner(0, 0))) for t in texts}) == 3 and trie.held < 2500  # the shared part is held once
+
+
+@pytest.mark.parametrize("stubs", [True, False])
+def test_patricia_trie(stubs):
     rng = random.Random(3)
-    keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(800)]
-    trie, want = exact_dedup.Patricia(), {}
-    for i, k in enumerate(keys):
-        ident = rng.choice([None, i])
-        trie.insert(k, ident)
-        least, n = want.get(k, (None, 0))
-        want[k] = (ident if least is None else least if ident is None else min(least, ident), n + 1)
-    assert {k: (a, b) for k, a, b in trie.terminals()} == want
+    trie, want, left = exact_dedup.Patricia(stubs), {}, {}
+    for i in range(2500):
+        k = bytes(rng.choices(b"abc", k=rng.randint(0, 9)))
+        want[k] = want.get(k, 0) + 1
+        if trie.insert(k, exact_dedup.owner(i, i)) is None:
+            left[k] = left.get(k, 0) + 1
+        if trie.held > 60_000:
+            for data, t in trie.spill(30_000):
+                left[data] = left.get(data, 0) + t.count
+    stay = {k: t.count for k, t in trie.terminals()}
+    assert left and {k: stay.get(k, 0) + left.get(k, 0) for k in stay.keys() | left} == want
+    assert not stubs or not stay.keys() & left  # what has left comes back nowhere
+    whole = exact_dedup.Patricia()
+    for i, k in enumerate(want):
+        whole.insert(k, exact_dedup.owner(None if i % 2 else i, i))
+    assert {k: t.least for k, t in whole.terminals()} == {k: exact_dedup.owner(None if i % 2 else i, i) for i, k in enumerate(want)}
     for raw in (b"", b" ", b"\n\t x  y\x0b", b"a\x1cb"):
         assert exact_dedup.normalise(raw).decode() == re.sub(r"[\x20\x09-\x0D]+", " ", raw.decode())
 

@@ -347,6 +347,37 @@ def test_html_text_loses_no_article(page):
         assert html_text.extract(page.format(widgets)) == " ".join(" ".join(parts).split())
 
 
+PROSE = "Sentence of the content that goes on for some length, as running text does. "
+STORY = ["Heading", "Short lead", *(f"{PROSE * 3}{i}" for i in range(5))]
+CONTENT = f"<div class=x><h1>{STORY[0]}</h1><div class=lead>{STORY[1]}</div><div class=body>" + "".join(f"<p>{p}</p>" for p in STORY[2:]) + "</div></div>"
+LINKS = "<div class=tags>" + "".join(f"<span><a href=/{i}><b>Topic number {i}</b></a></span><br>" for i in range(300)) + "</div>"
+LEGAL = "<div><div>One single long line of a legal sort far from the content, without any tags, quite long indeed it is</div></div>"
+
+
+def test_clusters_choose_the_text(monkeypatch):
+    """Pages without article or mark: more text in links than in the content; a long line by itself; teasers."""
+    want = " ".join(STORY)
+    menus = f"<body>{LINKS}{CONTENT}</body>", f"<body>{CONTENT}{LINKS}</body>"
+    alone = f"<body>{LINKS}{CONTENT}{LINKS}{LEGAL}{LINKS}</body>"
+    teaser = f"<body><article class=card>Teaser one</article>{LINKS}{CONTENT}</body>"
+    assert [html_text.extract(p) for p in (*menus, alone, teaser)] == [want] * 4
+    assert html_text.extract(f"<body>{LINKS}<article>{CONTENT}{LINKS}</article></body>").startswith(want + " Topic number 0")  # an article is whole
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smooth", lambda values, sigma=1.0: values)
+        assert html_text.extract(alone) != want
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "clustered", lambda lines, kept, regions: [float(len(t)) * k for (t, *_), k in zip(lines, kept)])
+        assert all(html_text.extract(p) != want for p in (*menus, alone, teaser))
+
+
+def test_html_table_cases(spark):
+    rows_ = [(1, "u", PAGE), (1, "u", PAGE), (None, None, "<p>x</p>")]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string").selectExpr("*", "1 as text", "'k' as n_chars")
+    got = html_text.extract_text(pages).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 89), ("1", 89), ("None", 1)]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
 def brute_equal(rows_):
     """(id, owner, rows of the text, SHA-256) of each row."""
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows_]

@@ -10,6 +10,10 @@ _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 2**32, K, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Further coordinates, for sets that are compared with many others.
+MORE = 192
+_XOR2 = _rng.integers(0, 2**32, MORE, dtype=np.uint32)
+_MUL2 = _rng.integers(0, 2**31, MORE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 class _Words(dict):
@@ -57,6 +61,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def further(shingles: np.ndarray) -> np.ndarray:
+    """A byte for each of MORE further coordinates."""
+    low = (shingles >> _U(32)).astype(np.uint32)
+    at = np.fromiter((np.argmin((low ^ x) * m) for x, m in zip(_XOR2, _MUL2)), np.int64, MORE)
+    return (mixed(shingles[at]) & _U(255)).astype(np.uint8)
+
+
 def tokens(sig: np.ndarray) -> np.ndarray:
     """One 64-bit value per (coordinate, value)."""
     return mixed(sig + np.arange(1, K + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))

@@ -224,7 +224,55 @@ def test_zip_of_the_standard_library(tmp_path):
         z.comment = b"PK\5 comment"
     with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.zip")) as f:
         r = warc_zip.Reader(f)
-        assert set(r.members) == {"stored"} and r.member("stored") == b"abc" * 100
+        assert set(r.members) == {"stored", "packed"} and r.member("stored") == r.member("packed") == b"abc" * 100
+        assert r.range(*r.place("stored")) == b"abc" * 100
+        with pytest.raises(ValueError, match="not stored"):
+            r.place("packed")
+
+
+def test_records_name_each_other(spark, tmp_path):
+    data = [(3, "http://c.org/x", "same"), (1, "http://www.A.org:80/p q", "same"), (2, "b", "same"), (7, "d", "twice"), (7, "d", "twice"), (8, "e", "twice")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 as payload", "2 as _k", "'x' as path").repartition(3)
+    got = warc_zip.read(warc_zip.write(pages, f"file://{tmp_path}/w")).collect()
+    by = {r.page_id: r for r in got}
+    assert len({r.record_id for r in got}) == 6  # repeated rows too
+    assert by[3].refers_to_record == by[2].refers_to_record == by[1].record_id and by[8].refers_to == 7 and by[8].refers_to_record is None
+    assert warc_zip.sort_key("http://www.A.org:80/p q") == "org,a:80)/p%20q" and warc_zip.sort_key("https://b.fr") == "fr,b)/"
+
+
+def test_attempts_that_lose_count_for_nothing(spark, tmp_path):
+    """Files of another attempt in the folder are in no manifest; the reading is spread over tasks."""
+    pages = spark.range(200).selectExpr("id page_id", "concat('http://h/', id) url", "repeat(cast(id as string), 50) html")
+    manifest = warc_zip.write(pages, f"file://{tmp_path}/w", archive_bytes=500)
+    files = [r.path for r in manifest.collect()]
+    assert len(set(files)) == len(files) > 8
+    for f in files[:3]:
+        (tmp_path / "w" / f.rpartition("/")[2].replace("part-", "part-9")).write_bytes(open(f.removeprefix("file://"), "rb").read())
+    read = warc_zip.read(manifest)
+    assert read.count() == 200 and read.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+    import json
+    import zipfile
+
+    def rec(kind, body, **more):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, "WARC_Record_ID": f"<{kind}>", **more, "Content_Length": len(body)}.items())
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    raw = [rec("warcinfo", b"a: b\r\n\r\nc"), rec("response", http, Content_Type="application/http;msgtype=response", WARC_Target_URI="http://o/", WARC_Payload_Digest="sha1:" + warc_zip.sha1_base32(b"hello")), rec("revisit", b"", WARC_Target_URI="http://p/", WARC_Refers_To="<response>", WARC_Payload_Digest="sha1:X")]
+    packed = [gzip.compress(r) for r in raw]
+    lines = [f"o)/ 2020 {json.dumps({'offset': sum(map(len, packed[:i])), 'length': len(p), 'filename': 'a.warc.gz'})}" for i, p in enumerate(packed)] + [json.dumps({"offset": "0", "length": str(len(raw[0])), "filename": "b.warc"})]
+    with zipfile.ZipFile(tmp_path / "o.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(packed))
+        z.writestr("archive/b.warc", raw[0])
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()), zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    got = sorted(warc_zip.read(spark.createDataFrame([(str(tmp_path / "o.wacz"),)], "path string")).collect(), key=lambda r: r.record_type)
+    assert [(r.record_type, r.url, r.payload_bytes, r.page_id) for r in got] == [("response", "http://o/", 5, None), ("revisit", "http://p/", None, None), ("warcinfo", None, 9, None), ("warcinfo", None, 9, None)]
+    assert bytes(got[0].payload) == b"hello" and got[1].refers_to_record == "<response>" and bytes(got[2].payload) == b"a: b\r\n\r\nc"
 
 
 def test_token_counts_equal_the_library(spark, docs):

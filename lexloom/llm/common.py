@@ -26,17 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a folder of this machine is set.
+    Only where the session names none and runs in one process (local tests) a folder of this machine
+    is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application writes its tables and files."""
+    return f"{shared_dir(spark)}/lexloom-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application wrote there; call it once its results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and cuts its lineage."""
     shared_dir(df.sparkSession)
@@ -46,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet to the shared folder and reads it again; columns can then be pruned."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom-{what}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path), path
 

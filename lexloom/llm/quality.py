@@ -6,7 +6,9 @@ their own. A document is the vector of its hashed 1- and 2-gram frequencies; its
 logistic function of a sparse dot product with the weights.
 
 Only the text enters a score. Null and empty texts get the bias alone; repeated rows get the same
-score. Without labelled rows the model is ``None`` and every score 0.5.
+score. Very long texts are whole. Of rows tied for the last place in training the smaller text goes
+in. Extra columns don't matter. Without labelled rows (an empty table, too) the model is ``None`` and
+every score 0.5; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class _Ids(dict):
         elif len(word) > 1 and word.isupper():
             form = "\x01capitals"
         elif not (word[0].isalnum() or word[0] == "_"):
-            form = word[:3]
+            form = word if len(set(word)) > 1 else word[0] + "\x01" * min(2, len(word) - 1)  # runs of one sign are as good as any longer
         else:
             form = word.lower()
         h = zlib.crc32(form.encode("utf-8", "surrogatepass"))
@@ -104,11 +106,12 @@ class Ftrl:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, key: str = "doc_id", text: str = "text", label: str = "quality", epochs: int = 2) -> Model | None:
-    """Fits on at most ``sample`` labelled rows whose crc32(key) mod 4 is not 2.
+    """Fits on at most ``sample`` labelled documents whose crc32(key) mod 4 is not 2.
 
-    The rows are those of the smallest xxhash64(key), so reruns agree; their number, not the size of
-    the table, bounds the single training task and the broadcast of their keys. The task reads the
-    texts as a stream, in that order, and returns the weights alone.
+    They are the rows of the smallest xxhash64(key), then key and text, so reruns agree; repeated
+    identifiers count each. Their number, not the size of a table, bounds the single training task,
+    what it keeps between epochs, and the broadcast of their keys. Every epoch sees all of them, in
+    one order; the task returns the weights alone.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % 4 != 2))
@@ -116,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, key: str = "d
         .withColumn("_o", F.xxhash64("_k")).orderBy("_o", "_k").limit(sample)
     )
     rows = docs.select(F.col(key).alias("_d"), utf8(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
-    rows = rows.select("_o", "_k", "_y", "_t").repartition(1).sortWithinPartitions("_o", "_k", "_t")
+    rows = rows.select("_o", "_k", "_y", "_t").orderBy("_o", "_k", "_t").limit(sample).repartition(1).sortWithinPartitions("_o", "_k", "_t")
 
     def fit(batches):
         kept: list[tuple[bytes, int]] = []
@@ -124,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, key: str = "d
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 model.learn(t.decode("utf-8", "replace"), y)
-                if epochs > 1 and len(kept) < sample:
+                if epochs > 1:
                     kept.append((zlib.compress(t, 1), y))
         for _ in range(epochs - 1):
             for t, y in kept:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, shared_dir, utf8
+from .common import cut, run_dir, utf8
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 24 << 20
@@ -327,4 +327,4 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def new_folder(df: DataFrame) -> str:
-    return f"{shared_dir(df.sparkSession)}/lexloom-warc-{uuid.uuid4().hex}"
+    return f"{run_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -103,6 +104,67 @@ def test_quality_learns_and_ignores_held_out(spark, empty):
     assert rows(quality.score(spark.createDataFrame([(1, None, 7)], "doc_id long, text string, score int"), model, carry=("score",)))[0][-1] == 7
 
 
+class SlowFtrl:
+    """The updates one coordinate at a time, in dictionaries, from the published formulas."""
+
+    def __init__(self, alpha=0.3, beta=1.0, l1=0.02, l2=0.05):
+        self.alpha, self.beta, self.l1, self.l2, self.z, self.n = alpha, beta, l1, l2, {}, {}
+
+    def weight(self, i):
+        z, n = self.z.get(i, 0.0), self.n.get(i, 0.0)
+        if i == "bias":
+            return -z / ((self.beta + n**0.5) / self.alpha)
+        if abs(z) <= self.l1:
+            return 0.0
+        return -(z - (self.l1 if z > 0 else -self.l1)) / ((self.beta + n**0.5) / self.alpha + self.l2)
+
+    def vector(self, text):
+        grams = quality.features(text).tolist()
+        x = {i: quality.SCALE * grams.count(i) / len(grams) for i in set(grams)}
+        return {**x, "bias": 1.0}
+
+    def probability(self, text):
+        z = sum(v * self.weight(i) for i, v in self.vector(text).items())
+        return 1 / (1 + math.exp(-max(-35, min(35, z))))
+
+    def learn(self, text, y):
+        x, p = self.vector(text), self.probability(text)
+        for i, v in x.items():
+            g, w, n = (p - y) * v, self.weight(i), self.n.get(i, 0.0)
+            self.z[i] = self.z.get(i, 0.0) + g - ((n + g * g) ** 0.5 - n**0.5) / self.alpha * w
+            self.n[i] = n + g * g
+
+
+def test_quality_against_slow_updates(spark, docs):
+    """Training and scores equal the one-coordinate version: nulls, ties, repeated and unlabelled rows, a cut sample."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, rng.randint(0, 30))) for _ in range(60)] + ["AB !!!! " * 40, None, "", "tie", "tie"]
+    data = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "another text"), (None, "no id")]
+    marks = [(i, i % 2) for i in range(0, 64)] + [(1, 0), (900, 1), (None, 1), (7, None)]
+    frame, labels = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    order = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in range(64)], "i long").select("i", F.xxhash64("i")).collect()}
+    for sample in (6000, 20):
+        model = quality.train(frame.withColumn("_o", F.lit(1)).withColumn("_y", F.lit(0)), labels, sample=sample)
+        y = {}
+        for i, v in marks:
+            if i is not None and v is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+                y[i] = min(v, y.get(i, v))
+        keys = set(sorted((i for i in y if i in order or i == 900), key=lambda i: (order.get(i, 1 << 70), i))[:sample])
+        chosen = sorted((order[i], i, (t or "").encode()) for i, t in data if i in keys and i in order)[:sample]
+        slow = SlowFtrl()
+        for _ in range(2):
+            for _, i, t in chosen:
+                slow.learn(t.decode(), y[i])
+        got = quality.score(frame, model).collect()
+        assert sorted((repr(r.doc_id), round(r.score, 4)) for r in got) == sorted((repr(i), round(slow.probability(t or ""), 4)) for i, t in data)
+        assert all(r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_quality_features_see_whole_runs():
+    assert len(set(quality.features("!?!?!?!?").tolist()) & set(quality.features("!?!").tolist())) == 0
+    assert (quality.features("!!!!!") == quality.features("!!!")).all() and not (quality.features("!!") == quality.features("!")).all()
+
+
 def brute_classes(rows_, n=2, share=80):
     def bag(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))

@@ -626,17 +626,21 @@ def test_iban_of_the_whole_registry(iban):
     assert ("iban", 3, 3 + len(iban)) in pii.find(f"to {iban}.")
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BLOCK_WORDS, 40])
+@pytest.mark.parametrize("limit,memory", [(decontaminate.BLOCK_WORDS, decontaminate.MEMORY), (40, decontaminate.MEMORY), (40, 1)])
 @pytest.mark.parametrize("window", [13, 3])
-def test_decontaminate(spark, limit, window):
+def test_decontaminate(spark, limit, memory, window):
+    """One block, many in one pass, many passes."""
     rng = random.Random(17)
-    items = [r for r in bench_rows() if limit > 40 or r[0] != 24]
+    items = bench_rows()
     texts = [" ".join(rng.choices(["a", "b", "c", "B", "d", "x-Y", "z", "solo,"], weights=[6, 6, 6, 1, 1, 1, 1, 0.3], k=rng.randint(0, 70))) for _ in range(150)] + [None, "", "...", "x y z " * 2000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find(docs, bench, window, limit=limit)).collect()}
-    spans = {r.doc_id: r.spans for r in decontaminate.find(docs, bench, window, limit=limit).collect()}
-    left = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, window).collect()}
+    assert (len(decontaminate.built(bench, window, limit=limit)) > 1) == (limit == 40)
+    both = decontaminate.find(docs.selectExpr("*", "1 as _k", "2 as _p", "'k' as items"), bench, window, limit=limit, memory=memory).cache()
+    got, spans = {r.doc_id: r for r in decontaminate.digest(both).collect()}, {r.doc_id: r.spans for r in both.collect()}
+    left = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, window, limit=limit, memory=memory).collect()}
+    whole = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, window).collect()} if memory == 1 else left
+    assert left == whole
     for i, t in enumerate(texts):
         n, hit, found = brute_hits(t, items, window)
         r = got[i]

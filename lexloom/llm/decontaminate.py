@@ -7,7 +7,7 @@ reaches a window, the window's words are hit. Only stretches of words whose pair
 items are streamed; elsewhere no window can end, so this loses nothing.
 
 The items' distinct texts go by hash into blocks of about BLOCK_WORDS words. A task builds a block's
-automaton and writes it to the shared folder as flat arrays, some 60 to 100 bytes a word; the driver
+automaton and writes it to the shared folder as flat arrays, some 50 bytes a word and 100 when loaded; the driver
 sees only the files' names and sizes. Documents are then read once with as many automata as MEMORY
 holds, usually all, which a Python worker loads once and keeps for its further tasks; with more, the
 rest are further passes, whose spans are merged by document.
@@ -39,10 +39,10 @@ from pyspark.sql.types import _parse_datatype_string
 from .common import STEP, filesystem, run_dir, utf8
 
 WINDOW = 13
-#: Words of items in one automaton; while it is built, some 700 bytes each in one executor's worker.
+#: Words of items in one automaton; while it is built, some 1000 bytes each (measured: 200 MB) in one executor's worker.
 BLOCK_WORDS = 200_000
-#: Bytes of automata that a worker loads for one pass.
-MEMORY = 192 << 20
+#: Bytes of automata files that a worker loads for one pass; they take some twice as much in memory.
+MEMORY = 96 << 20
 #: The same words for the JVM, A-Z as letters.
 _JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -2,9 +2,14 @@
 
 A text is cut into pieces at line ends and sentence marks; a piece, or a run of pieces that only
 line ends, colons and semicolons of one paragraph part, is normalised and looked up among known
-licence sentences, so that wrapped texts and comments are read too. The sequence of identifiers is
-then matched against ordered rules, the first match of each licence counting. Null and empty texts
-match nothing; a sentence that occurs twice is listed twice.
+licence sentences (texts, headers, notices and tags of some fifty licences, see ``licenses``), so
+that wrapped texts and comments are read too. The sequence of identifiers is then matched against
+ordered rules, the first match of each licence counting; a licence whose text another one found
+contains doesn't count.
+
+Null and empty texts match nothing; a sentence that occurs twice is listed twice, and of readings
+that begin at one piece the longest counts. Repeated rows are matched each; extra columns don't
+matter; very long texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,72 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, utf8
+from .licenses import CONTAINS, RULES, known, normalise
 
-#: identifier -> the sentence in normal form: a-z, 0-9, single spaces.
-SENTENCES = {
-    "mit-notice": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
-    "mit-title": "mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-condition": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "apache-2-notice": "licensed under the apache license version 2 0",
-    "apache-2-comply": "you may not use this file except in compliance with the license",
-    "apache-2-copy": "you may obtain a copy of the license at",
-    "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "cc-by-nc-4-notice": "licensed under cc by nc 4 0",
-    "cc-by-nc-4-work": "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
-    "cc-by-4-notice": "licensed under cc by 4 0",
-    "cc-by-sa-4-notice": "licensed under cc by sa 4 0",
-    "bsd-redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "all-rights": "all rights reserved",
-}
-#: Other wordings, in normal form -> identifier.
-VARIANTS = {
-    "licensed under the apache license version 2 0 the license": "apache-2-notice",
-}
-#: Ordered: (rule, licence, identifiers that must follow one another, others between allowed).
-RULES = [
-    ("mit-text", "MIT", ("mit-grant", "mit-condition")),
-    ("mit-short", "MIT", ("mit-notice",)),
-    ("mit-by-name", "MIT", ("mit-licensed",)),
-    ("apache-2-header", "Apache-2.0", ("apache-2-notice", "apache-2-comply")),
-    ("apache-2-short", "Apache-2.0", ("apache-2-notice",)),
-    ("gpl-3-header", "GPL-3.0-or-later", ("gpl-free",)),
-    ("gpl-3-short", "GPL-3.0-only", ("gpl-3-notice",)),
-    ("cc-by-nc-short", "CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
-    ("cc-by-nc-work", "CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
-    ("cc-by-short", "CC-BY-4.0", ("cc-by-4-notice",)),
-    ("cc-by-sa-short", "CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
-    ("bsd-3", "BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-endorse")),
-    ("bsd-2", "BSD-2-Clause", ("bsd-redistribute", "bsd-source")),
-    ("reserved", "LicenseRef-all-rights-reserved", ("all-rights",)),
-]
+KNOWN = known()
 _CUT = re.compile(r"(?<=[.!?:;])[\x20\t\r\f\v]+")
-_COMMENT = re.compile(r"[\x20\t]*(?:dnl|rem)(?=[\x20\t\r]|$)")
-_OTHER = re.compile(r"[^a-z0-9]+")
+_COMMENT = re.compile(r"^[\x20\t]*(?:dnl|rem)(?=[\x20\t\r]|$)")
 
 
-def normalise(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.lower()).strip()
+def prefixes_of(sentences) -> set[str]:
+    """The known sentences' beginnings, by words."""
+    return {" ".join(ws[:n]) for ws in map(str.split, sentences) for n in range(1, len(ws) + 1)}
 
 
-def starts_of(known: dict[str, str]) -> dict[str, list[str]]:
-    """Known sentences by their first word."""
-    out: dict[str, list[str]] = {}
-    for sentence in known:
-        out.setdefault(sentence.split(" ", 1)[0], []).append(sentence)
-    return out
-
-
-def identify(text: str, known: dict[str, str], triggers: tuple[str, ...], starts: dict[str, list[str]] | None = None) -> list[str]:
+def identify(text: str, sentences: dict[str, str], triggers: tuple[str, ...], prefixes: set[str]) -> list[str]:
     """Identifiers of the known sentences of a text, in order."""
     low = text.lower()
     if not any(t in low for t in triggers):
         return []
-    starts = starts_of(known) if starts is None else starts
     pieces, ended = [], []  # ended: no sentence goes on behind the piece
     for line in low.split("\n"):
         bare = _COMMENT.sub("", line)
@@ -93,23 +49,20 @@ def identify(text: str, known: dict[str, str], triggers: tuple[str, ...], starts
         if not some and ended:
             ended[-1] = True  # a line without words ends a paragraph
     out = []
-    for i, piece in enumerate(pieces):
-        found = []
-        left = [s for s in starts.get(piece.split(" ", 1)[0], ()) if s == piece or s.startswith(piece + " ")]
-        run, at = piece, i
-        while left:
-            if run in known and known[run] not in found:
-                found.append(known[run])
+    for i, run in enumerate(pieces):
+        found, at = None, i
+        while run in prefixes:
+            found = sentences.get(run, found)
             if ended[at] or at + 1 == len(pieces):
                 break
             at += 1
             run += " " + pieces[at]
-            left = [s for s in left if s == run or s.startswith(run + " ")]
-        out += found
+        if found:
+            out.append(found)
     return out
 
 
-def match(ids: list[str], rules=RULES) -> list[tuple[str, str]]:
+def match(ids: list[str], rules=RULES, contains=CONTAINS) -> list[tuple[str, str]]:
     """(rule, licence) of the first rule of each licence whose identifiers occur in order."""
     out, seen = [], set()
     for rule, licence, wanted in rules if ids else ():
@@ -117,27 +70,34 @@ def match(ids: list[str], rules=RULES) -> list[tuple[str, str]]:
         if licence not in seen and all(w in rest for w in wanted):
             seen.add(licence)
             out.append((rule, licence))
-    return out
+    inner = {x for licence in seen for x in contains.get(licence, ())}
+    return [(r, x) for r, x in out if x not in inner]
 
 
-def triggers_of(sentences: dict[str, str]) -> tuple[str, ...]:
+def triggers_of(sentences) -> tuple[str, ...]:
     """A few words one of which each known sentence holds, so that most texts need no cutting."""
-    left, out = [set(s.split()) for s in sentences.values()], []
+    left, out = [set(s.split()) for s in sentences], []
     while left:
-        words = sorted({w for s in left for w in s if w.isalpha()}, key=lambda w: (-len(w) * (1 + sum(w in s for s in left)), w))
-        out.append(words[0])
-        left = [s for s in left if words[0] not in s]
-    return tuple(out)
+        count: dict[str, int] = {}
+        for s in left:
+            for w in s:
+                count[w] = count.get(w, 0) + 1
+        best = max((w for w in count if w.isalpha() and len(w) >= 3), key=lambda w: (len(w) * count[w], w))
+        out.append(best)
+        left = [s for s in left if best not in s]
+    return tuple(w for w in out if not any(v != w and v in w for v in out))
+
 
+def scan(docs: DataFrame, sentences: dict[str, str] = KNOWN, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``key``, sentence_ids and rules and licenses as arrays in order of text and rules.
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, key: str = "doc_id", text: str = "text", variants: dict[str, str] = VARIANTS) -> DataFrame:
-    """Per row: ``key``, sentence_ids and rules and licenses as arrays in order of text and rules."""
-    known = {v: k for k, v in sentences.items()} | {v: k for v, k in variants.items() if k in sentences}
-    triggers, starts = triggers_of({v: v for v in known}), starts_of(known)
+    ``sentences``: normal form -> identifier.
+    """
+    triggers, prefixes = triggers_of(sentences), prefixes_of(sentences)
 
     def make():
         def work(ids, texts):
-            found = [identify(t.decode("utf-8", "replace"), known, triggers, starts) for t in texts]
+            found = [identify(t.decode("utf-8", "replace"), sentences, triggers, prefixes) for t in texts]
             hits = [match(f, rules) for f in found]
             return ids, found, [[r for r, _ in h] for h in hits], [[x for _, x in h] for h in hits]
 

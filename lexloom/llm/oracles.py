@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .license_scan import RULES, SENTENCES
+from .license_scan import KNOWN
+from .licenses import CONTAINS, RULES
 from .mixing import FINE, GOLDEN
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -12,20 +13,31 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+_BARE = r"regexp_replace(lower(text), '(^|\n)[ \t]*(dnl|rem)([ \t\r\n]|$)', '\1\3', 'g')"
+_PARTED = rf"regexp_replace({_BARE}, '\n([^a-z0-9\n]*\n)+', '.' || chr(10), 'g')"
+_PIECES = rf"string_split(regexp_replace(regexp_replace({_PARTED}, '([.!?:;])[ \t\r\f\v]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10))"
 OP1 = rf"""
-with known(ident, sentence) as (values {_values(SENTENCES.items())}),
-rules(n, rule, licence, pattern) as (values {_values((i, r, x, "(^|,)" + ",(.*,)?".join(ids) + "(,|$)") for i, (r, x, ids) in enumerate(RULES))}),
-lines as (
-  select d.doc_id, d.rid, unnest(string_split(regexp_replace(regexp_replace(lower(text), '([.!?:;])[ \t\r\f\v]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10))) line,
-    generate_subscripts(string_split(regexp_replace(regexp_replace(lower(text), '([.!?:;])[ \t\r\f\v]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), 1) pos
-  from (select row_number() over () rid, * from documents) d where text is not null),
-hits as (select l.rid, l.pos, k.ident from lines l join known k on trim(regexp_replace(l.line, '[^a-z0-9]+', ' ', 'g')) = k.sentence),
-seqs as (select rid, string_agg(ident, ',' order by pos) ids, count(*) n from hits group by rid),
+with recursive known(sentence, ident) as (values {_values(KNOWN.items())}),
+rules(n, rule, licence, pattern) as (values {_values((i, r, x, "(^|,)" + ",(.*,)?".join(y.replace(".", "[.]").replace("+", "[+]") for y in ids) + "(,|$)") for i, (r, x, ids) in enumerate(RULES))}),
+contains(outer_, inner_) as (values {_values((x, y) for x, ys in CONTAINS.items() for y in ys)}),
+docs as (select row_number() over () rid, * from documents),
+raw as (select rid, unnest({_PIECES}) line, generate_subscripts({_PIECES}, 1) k from docs where text is not null),
+said as (select rid, k, trim(regexp_replace(regexp_replace(line, '([0-9])[+]', '\1 or later ', 'g'), '[^a-z0-9]+', ' ', 'g')) piece, regexp_matches(line, '[.!?][ \t\r\f\v]*$') ended from raw),
+pieces as (select rid, row_number() over (partition by rid order by k) pos, piece, ended from said where piece <> ''),
+firsts as (select distinct split_part(sentence, ' ', 1) w from known),
+run(rid, start, last, words, ended) as (
+  select rid, pos, pos, piece, ended from pieces where split_part(piece, ' ', 1) in (select w from firsts)
+  union all
+  select r.rid, r.start, p.pos, r.words || ' ' || p.piece, p.ended from run r join pieces p on p.rid = r.rid and p.pos = r.last + 1
+  where not r.ended and exists (select 1 from known k where starts_with(k.sentence, r.words || ' ' || p.piece))),
+hits as (select rid, start, last, ident, row_number() over (partition by rid, start order by last desc) place from run join known on words = sentence),
+seqs as (select rid, string_agg(ident, ',' order by start, last) ids, count(*) n from hits where place = 1 group by rid),
 found as (select s.rid, r.n, r.rule, r.licence from seqs s join rules r on regexp_matches(s.ids, r.pattern)),
-firsts as (select rid, min(n) n, arg_min(rule, n) rule, licence from found group by rid, licence),
-per as (select rid, string_agg(rule, ',' order by n) rules, string_agg(licence, ',' order by n) licenses from firsts group by rid)
-select d.doc_id, coalesce(s.n, 0)::bigint n_sentences, coalesce(s.ids, '') sentence_ids, coalesce(p.rules, '') rules, coalesce(p.licenses, '') licenses
-from (select row_number() over () rid, doc_id from documents) d left join seqs s using (rid) left join per p using (rid)
+best as (select rid, min(n) n, arg_min(rule, n) rule, licence from found group by rid, licence),
+outermost as (select * from best b where not exists (select 1 from best o join contains on outer_ = o.licence where o.rid = b.rid and inner_ = b.licence)),
+per as (select rid, string_agg(rule, ',' order by n) rules, string_agg(licence, ',' order by n) licenses from outermost group by rid)
+select doc_id, coalesce(s.n, 0)::bigint n_sentences, coalesce(s.ids, '') sentence_ids, coalesce(p.rules, '') rules, coalesce(p.licenses, '') licenses
+from docs left join seqs s using (rid) left join per p using (rid)
 """
 
 OP3 = r"""

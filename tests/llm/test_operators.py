@@ -55,53 +55,78 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def scanned(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as rules", "'k' as sentence_ids")
+    return [r for r in sorted(license_scan.scan(frame).collect(), key=lambda r: r.doc_id)]
+
+
 def test_license_sentences(spark, empty):
     text = "Intro line.\nLicensed under the Apache License, Version 2.0.\nPermission is hereby granted!\nALL RIGHTS RESERVED. Released under the MIT License."
-    got = license_scan.scan(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "mit licensed")], "doc_id long, text string")).collect()
-    by = {r.doc_id: r for r in got}
-    assert by[1].sentence_ids == ["apache-2-notice", "all-rights", "mit-notice"]
-    assert by[1].licenses == ["MIT", "Apache-2.0", "LicenseRef-all-rights-reserved"]
-    assert by[2].licenses == by[3].licenses == by[4].licenses == []
+    got = scanned(spark, [text, None, "", "mit licensed", "lorem\nreleased under MIT", text, "x" * 10_000 + "\n" + "word " * 200_000 + "\n" + text])
+    assert got[0].sentence_ids == got[5].sentence_ids == got[6].sentence_ids == ["apache-2.0-notice", "all-rights", "mit-notice"]
+    assert got[0].licenses == ["MIT", "Apache-2.0", "LicenseRef-all-rights-reserved"]
+    assert got[1].licenses == got[2].licenses == got[3].licenses == [] and got[4].licenses == ["MIT"]
     assert license_scan.match(["bsd-source", "bsd-redistribute"]) == []
-    assert license_scan.match(["bsd-redistribute", "x", "bsd-source", "bsd-endorse"]) == [("bsd-3", "BSD-3-Clause"), ("bsd-2", "BSD-2-Clause")]
+    assert license_scan.match(["bsd-redistribute", "x", "bsd-source", "bsd-endorse"]) == [("bsd-3-text", "BSD-3-Clause")]  # not its BSD-2 part
     assert license_scan.scan(empty).count() == 0
 
 
-def test_wrapped_licenses(spark):
+FULL = {
+    "MIT": 'Copyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0',
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "LicenseRef-all-rights-reserved,BSD-3-Clause": 'Copyright (c) 2020, A. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-2.0-or-later": "SPDX-License-Identifier: GPL-2.0+",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+}
+
+
+def test_whole_and_wrapped_licenses(spark):
     import textwrap
 
-    marks = [("", ""), ("# ", ""), (" * ", ""), ("// ", ""), ("dnl ", ""), ("; ", "")]
-    mit = "Copyright (c) 2020 A\n\n" + textwrap.fill("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", 60)
-    mit += "\n\n" + textwrap.fill("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 60)
-    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
-    gpl = textwrap.fill("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 60)
-    bsd = "Copyright (c) 2020, A. All rights reserved.\n\n" + textwrap.fill("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", 60) + "\n\n"
-    bsd += textwrap.fill("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", 60)
-    texts = [(t, n) for t, n in [(mit, "MIT"), (apache, "Apache-2.0"), (gpl, "GPL-3.0-or-later"), (bsd, "BSD-2-Clause,LicenseRef-all-rights-reserved")]]
-    rows_ = [(f"{n} {i}", "\n".join((a + line).rstrip() for line in t.split("\n"))) for t, n in texts for i, (a, _) in enumerate(marks)]
-    got = license_scan.scan(spark.createDataFrame([*rows_, ("none 0", "the mit\n\nlicense. MIT.\nLicense")], "doc_id string, text string")).collect()
-    assert [r.doc_id for r in got if ",".join(r.licenses) != r.doc_id.rsplit(" ", 1)[0].replace("none", "")] == []
-    assert {tuple(r.sentence_ids) for r in got if r.doc_id.startswith("Apache")} == {("apache-2-notice", "apache-2-comply", "apache-2-copy")}
-
-
-def test_quality_learns_and_ignores_held_out(spark, empty):
-    rng = random.Random(5)
-    good = [(i, " ".join(words(rng, 40)), 1) for i in range(300)]
-    bad = [(i, " ".join(w.upper() + "!!" for w in words(rng, 40)), 0) for i in range(300, 400)]
-    both = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
-    # Held-out rows have the opposite labels: had they been learnt, the scores would suffer.
-    labels = both.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
-    model = quality.train(both.drop("quality"), labels.unionByName(labels))
-    got = {r.doc_id: r for r in quality.score(both, model).collect()}
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
-    assert sum(got[i].predicted == q for i, _, q in good + bad) >= 395
-    assert quality.train(empty, labels) is None
-    none = quality.train(both, spark.createDataFrame([], "doc_id long, quality int"))
-    assert none is None and {r.score for r in quality.score(both, None).collect()} == {0.5}
-    assert 0 <= model.score("") <= 1
-    again = quality.train(both.drop("quality"), labels)
-    assert (again.weights == model.weights).all()
-    assert rows(quality.score(spark.createDataFrame([(1, None, 7)], "doc_id long, text string, score int"), model, carry=("score",)))[0][-1] == 7
+    wrapped = lambda t: "\n".join(textwrap.fill(line, 60) for line in t.split("\n"))
+    texts, want = [], []
+    for licence, t in FULL.items():
+        for fold in (str, wrapped):
+            for mark in ("", "# ", " * ", "// ", "dnl ", "; ", "REM "):
+                texts.append("\n".join((mark + line).rstrip() for line in fold(t).split("\n")))
+                want.append(set(licence.split(",")))
+    got = scanned(spark, texts)
+    assert [(w, r.licenses, t) for w, r, t in zip(want, got, texts) if set(r.licenses) != w] == []
+    assert scanned(spark, ["the mit\n\nlicense. MIT.\nLicense x"])[0].licenses == []
+
+
+def test_license_sql_agrees(spark, tmp_path):
+    """The query and its SQL, which grows runs of pieces recursively, on whole, wrapped, cut and mixed texts."""
+    import textwrap
+
+    import duckdb
+
+    from lexloom.llm.oracles import ORACLES
+
+    rng = random.Random(3)
+    parts = [p for t in FULL.values() for p in re.split(r"(?<=[.:;]) ", t)] + ["", " * ", "lorem", "MIT License", "License: MIT", "\n", "...", "é"]
+    texts = [*FULL.values(), *(textwrap.fill(t, 50) for t in FULL.values()), *(rng.choice([" ", "\n", "\n\n", ".\n# "]).join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(60)), None, ""]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(ORACLES["op1_license_scan"])
+    got = queries.op1_license_scan(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert rows(got.select(*rel.columns)) == sorted(rel.fetchall(), key=repr)
 
 
 class SlowFtrl:

@@ -1,8 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust a score.
 
 Base kinds are email, ip, card and phone; ``iban`` (mod-97) is added by the method. Offsets count
-code points, the end is exclusive. Null and empty texts have no spans. All searches are linear in
-the text, so very long runs of one character don't matter.
+code points, the end is exclusive. Of spans with one start the order is that of the kinds; kinds may
+overlap. Base spans stay whatever their score; added ones need ``least``. Null and empty texts have no
+spans, repeated rows theirs each. Extra columns don't matter, an empty table gives an empty result.
+All searches are linear in the text, so very long runs of one character don't matter.
 """
 
 from __future__ import annotations
@@ -113,7 +115,13 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(text: str, least: float) -> list[tuple[str, int, int, float]]:
+    """Confirmed spans with their scores; those of added kinds only from ``least`` on."""
+    found = [(k, s, e, score(text, k, s, e)) for k, s, e in find(text)]
+    return [f for f in found if f[0] in BASE or f[3] >= least]
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """Per row: ``key`` and ``spans``, an array of (kind, start, end, value, score)."""
 
     def make():
@@ -121,7 +129,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             out = []
             for raw in texts:
                 t = raw.decode("utf-8", "replace")
-                out.append([{"kind": k, "start": s, "end": e, "value": t[s:e], "score": score(t, k, s, e)} for k, s, e in find(t)])
+                out.append([{"kind": k, "start": s, "end": e, "value": t[s:e], "score": x} for k, s, e, x in scored(t, least)])
             return ids, out
 
         return work

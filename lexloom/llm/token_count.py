@@ -1,10 +1,14 @@
 """Token counts by byte-pair merging with a heap over a linked list; no identifiers are made.
 
 The vocabulary file is a parameter. Added special tokens count one each where their string
-stands in a text, as the ``tokenizers`` library does by default.
-
-Nulls and empty texts count 0 tokens and 0 bytes. Repeated rows are counted each. A text of any
-length is handled whole: merging takes n log n steps, caches are bounded and never change a count.
+stands in a text, as the ``tokenizers`` library does by default. Files that ask for anything but
+byte-level merging with the usual pattern (normalizers, prefix spaces, word ends, dropout, merges
+that whole tokens skip) are an error: their counts would be others.
+
+Nulls and empty texts count 0 tokens and 0 bytes. Repeated rows are counted each; of pairs of one
+rank the leftmost merges first. Extra columns don't matter, an empty table gives an empty result. A
+text of any length is handled whole: merging takes n log n steps, caches are bounded and never change
+a count.
 """
 
 from __future__ import annotations
@@ -63,6 +67,17 @@ def merges(symbols: list[int], ranks: dict[int, int], made: list[int]) -> int:
     return done
 
 
+def checked(spec: dict) -> dict:
+    """The file's contents, if this module counts by them."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    other = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges", "byte_fallback") if model.get(k)]
+    other += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    other += [f"added token {t['content']}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or other:
+        raise ValueError(f"not plain byte-level merging: {model.get('type')}, {pre}, {', '.join(other)}")
+    return spec
+
+
 class _Cache(dict):
     def __init__(self, count):
         self.count = count
@@ -80,7 +95,8 @@ class Counter:
     def __init__(self, path: str):
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = checked(json.load(f))
         to_byte = byte_alphabet()
         raw = lambda s: bytes(map(to_byte.__getitem__, s))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])

@@ -374,7 +374,11 @@ def test_token_counts_equal_the_library(spark, docs):
         t = texts[r.doc_id]
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512), repr(t[:80])
-    assert token_count.count_tokens(docs, path).count() == docs.count()
+    again = token_count.count_tokens(docs, path).collect()
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in again) == sorted((repr(r[0]), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in corpus())
+    assert token_count.count_tokens(docs.limit(0), path).count() == 0
+    with pytest.raises(ValueError, match="not plain byte-level"):
+        token_count.Counter(str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")))
 
 
 def brute_mix(rows_, fine=1024, golden=mixing.GOLDEN):
@@ -625,6 +629,14 @@ def test_pii_against_plain_regexes(spark):
     assert pii.score("my card 378282246310005", "card", 8, 23) > pii.score("xx xxxx 378282246310005", "card", 8, 23)
 
 
+def test_pii_on_the_table(docs, empty):
+    got = pii.digest(pii.scan(docs)).collect()
+    assert len(got) == len(corpus()) and sorted(r.spans for r in got) == sorted(pii.joined(pii.find(r[1] or "")) for r in corpus())
+    assert pii.scan(empty).count() == 0
+    iban = "to DE89370400440532013000"
+    assert [len(pii.scored(iban, x)) for x in (0.5, 0.95)] == [1, 0] and len(pii.scored("iban account " + iban, 0.95)) == 1  # context decides
+
+
 def brute_hits(text, items, window=13):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     hit, found = set(), set()

@@ -2,7 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents, extra ones too;
-these travel under names of their own, so none can clash with an operator's.
+these travel under names of their own, so none can clash with an operator's. A stage drops whole
+rows only, but for the passages that decontamination cuts out.
+
+Rows with nulls in any column, empty and very long texts pass like others: a null text is an empty
+one to every operator and stays null. Repeated rows are one document to exact_dedup; a doc_id over
+several texts is one document to near_dedup. Ties go to the smallest doc_id, null ones last. Empty
+tables give empty results, an empty labels table rejects nothing.
 """
 
 from __future__ import annotations
@@ -51,9 +57,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix with size, source_size, target and taken (words the mix takes)."""
+    """The documents in the mix with size, source_size, target, taken (words the mix takes) and first_slot."""
     packed, carry = _packed(docs)
-    more = ("size", "source_size", "target", "taken")
+    more = ("size", "source_size", "target", "taken", "first_slot")
     mixed = mixing.mix(packed, carry=carry).where("taken > 0")
     names = [c if c.lower() not in more else f"document_{c}" for c in docs.columns]
     return _unpacked(mixed, carry, names, *more)

@@ -6,6 +6,27 @@ word classes and boundaries, no lookaround.
 
 from __future__ import annotations
 
+import unicodedata
+
+
+
+def _bare_letters() -> tuple[str, str]:
+    """Letters with marks and the letters below them, by canonical decomposition; then the marks, which go.
+
+    Of the basic plane; letters that decompose into several (Hangul syllables) stay.
+    """
+    marked, bare, marks = [], [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif not 0xD800 <= ord(c) < 0xE000 and (left := "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) != c and len(left) == 1 and left != "'":
+            marked.append(c)
+            bare.append(left)
+    return "".join(marked + marks), "".join(bare)
+
+
+_MARKED, _BARE = _bare_letters()
+
 #: Inside a bracket: what belongs to a word.
 WORD = r"\p{L}\p{N}_"
 #: A boundary before and after a word; both may take one character.
@@ -39,9 +60,7 @@ class Spark:
 
     @staticmethod
     def accents(x: str) -> str:
-        a = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-        b = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-        return f"translate({x}, '{a}', '{b}')"
+        return f"translate({x}, '{_MARKED}', '{_BARE}')"
 
 
 class Duck(Spark):

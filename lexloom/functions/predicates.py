@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import B, E, Spark, any_word
+from .dialect import B, E, WORD, Spark, any_word
 
 _N = r"\d+([.,]\d+)?"
 NUMBER = rf"{B}\d+([eE][+-]?\d+)?{E}"
@@ -15,7 +15,7 @@ _UNITS = (
     "a bar cm ev g g/cm3 gev ghz h hr hz k kev kev/c kg kg/m3 khz km/h kmh-1 kpa kt kv kw l m m/s ma mbar mev mev/c mev/c2 mg mhz "
     "ml mm mmol mol mpa ms ms-1 ms-2 mt mv mw nm ns pa pm ppb ppm ppt ps s t tev ua ug ul um us v w µa µg µl µm µs"
 ).split()
-UNIT = rf"[%‰]|(?i){B}({'|'.join(sorted(_UNITS, key=len, reverse=True))}){E}"
+UNIT = rf"[%‰]|(?i)[{WORD}]°c{E}|{B}p\.p\.[bmt]\.[{WORD}]|{B}({'|'.join(sorted(_UNITS, key=len, reverse=True))}){E}"
 MEASURE = rf"(?i){B}({_N}\s*(±|\+/-)\s*\d|{_N}\(\d+([.,]\d+)?\)[{chr(92)}p{{L}}{chr(92)}p{{N}}_]|{_N} *[x×] *10 *\^ *[-+]?\d|10 *\^ *[-+]?\d|{_N}e[+-]?\d+{E})"
 _VERBS = (
     "allow allowed allows are be been being consumed corresponded decreased detected finds found gave generated had has have improved increased is lasted measured observed obtained "
@@ -87,7 +87,8 @@ def caption(d, x):
 def axis_fragment(d, x):
     quantities = "acceleration amplitude counts? current frequency intensity signal temperature time voltage".split() + ["number of protons"]
     three = r"(^|[^\p{L}\p{N}_.-])(-?\d+(\.\d+)?\s+){2}-?\d+(\.\d+)?" + E
-    return f"({d.count(x, '[|]')} >= 2 or {d.match(x, rf'(?i){B}({"|".join(quantities)})\s*[(][^)]+[)]')} or {d.match(x, three)} and {alpha_words(d, x)} <= 8)"
+    wordy = f"{d.match(x, r'^\s*[A-Za-z()/%.+-][A-Za-z ()/%.+\s-]*$')} and {d.match(f'trim({x})', r'\s[^\s].*\s[^\s]|\s \s')}"  # three parts without digits, told without backtracking
+    return f"({d.count(x, '[|]')} >= 2 or {d.match(x, rf'(?i){B}({"|".join(quantities)})\s*[(][^)]+[)]')} or {wordy} or {d.match(x, three)} and {alpha_words(d, x)} <= 8)"
 
 
 def page_counter(d, x):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as tx
-from . import dedup, split
+from . import dedup, shared, split
 
 
 def merge_broken(sentences: Column) -> Column:
@@ -49,7 +49,7 @@ def uncovered_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text
 
 def numeric_facts(docs: DataFrame, least: int = 1, top: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Both passes, scored, the best of each text kept at its first place, at most ``top`` a document."""
-    one = candidates(docs, key, text)
+    one = shared.cut(candidates(docs, key, text))  # both passes use it
     both = one.withColumn("_pass", F.lit(0)).unionByName(uncovered_lines(docs, one, key, text).withColumn("_pass", F.lit(1)))
     both = both.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("_pass", "para", "pos"))).withColumn("score", p.column(p.score, "sentence"))
     best = dedup.best_of(both.where(F.col("score") >= least), tx.column(tx.numeric_key, "sentence"), "score", "sentence", [key])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # only where the session sets none
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # only where the session sets none, on one machine
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
     return df.checkpoint(eager=True)

@@ -37,6 +37,16 @@ def topic_chunks(x) -> Column:
     return F.when(F.size(ps) >= 3, ps).otherwise(blocks(x))
 
 
+def basic_sentences(x) -> Column:
+    """At white space after . ! ?, trimmed, empty ones out."""
+    return F.filter(F.transform(F.split(tx.c(x), r"(?<=[.!?])[ \t\n\x0B\f\r]+"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: F.length(s) > 0)
+
+
+def line_segments(x) -> Column:
+    """The parts between line ends and soft line breaks, and these, in order."""
+    return F.regexp_extract_all(tx.c(x), F.lit(r"[\n\x0B]|[^\n\x0B]+"), F.lit(0))
+
+
 def numeric_sentences(x) -> Column:
     """After . ! ? ; where the next starts with a capital, a digit or a bracket; abbreviations hold."""
     ps = F.split(tx.protect_abbreviations(tx.document_normal(x)), r"\n{2,}")
@@ -79,12 +89,12 @@ def pack_words(parts: list[str], most: int = 1000) -> list[str]:
 
 
 def pack_lines(lines: list[str], most: int = 1600, least: int = 350) -> list[str]:
-    """Greedy packing of lines by words, then chunks below ``least`` words merge forward."""
+    """Greedy packing of lines with text by words, then chunks below ``least`` words merge forward."""
     import re
 
     count = lambda s: len(re.findall(r"\w+", s))
     first, held, size = [], [], 0
-    for x in lines:
+    for x in filter(None, map(str.strip, lines)):
         n = count(x)
         if held and size + n > most:
             first.append("\n".join(held))
@@ -123,27 +133,39 @@ def folded(fold, x: Column, *args) -> Column:
     return run(x)
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The lines of Markdown documents with title, section and subsection carried forward.
+ABSTRACTS = ("abstract", "résumé", "summary")
+
 
-    The first heading of any level is the title; headings of level 2 and less open a section, deeper
-    ones a subsection; lines before any section are lost.
+def headed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The lines with text of Markdown documents with what the headings so far make of them.
+
+    Columns: ``key``, pos, line, level (0: no heading), name, kind of the last heading (title, abstract,
+    section, sub), title, sec (sections opened so far), sub (subsections of it), section, subsection.
     """
     from pyspark.sql import Window as W
 
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))
-    name = F.trim(F.regexp_replace("line", r"^#{1,6}\s+", ""))
-    lines = lines.withColumn("_level", level).withColumn("_name", name)
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b"))).where("line <> ''")
+    lines = lines.withColumn("level", F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))).withColumn("name", F.btrim(F.regexp_replace("line", r"^#{1,6}\s+", ""), F.lit(" \t")))
     run = W.partitionBy(key).orderBy("pos")
-    lines = lines.withColumn("_heads", F.sum((F.col("_level") > 0).cast("int")).over(run))
-    lines = lines.withColumn("title", F.first(F.when(F.col("_level") > 0, F.col("_name")), ignorenulls=True).over(run))
-    opens = (F.col("_level") > 0) & (F.col("_heads") > 1)
-    top = opens & (F.col("_level") <= 2)
-    lines = lines.withColumn("section", F.last(F.when(top, F.col("_name")).when(opens, F.lit(None)), ignorenulls=True).over(run))
-    lines = lines.withColumn("_at", F.sum(top.cast("int")).over(run))
-    inner = W.partitionBy(key, "_at").orderBy("pos")
-    lines = lines.withColumn("subsection", F.last(F.when(opens & ~top, F.col("_name")), ignorenulls=True).over(inner))
-    section = F.coalesce("section", F.when(F.col("subsection").isNotNull(), F.lit("Untitled section")))
-    body = lines.withColumn("section", section).where((F.col("_level") == 0) & F.col("section").isNotNull() & (F.trim("line") != ""))
-    return body.withColumn("is_abstract", F.lower("section").rlike("abstract|résumé|summary")).select(key, "pos", "title", "section", "subsection", "is_abstract", "line")
+    head = F.col("level") > 0
+    lines = lines.withColumn("_heads", F.sum(head.cast("int")).over(run))
+    own = F.when(head & (F.col("_heads") == 1), "title").when(head & F.lower("name").isin(*ABSTRACTS), "abstract").when(head & (F.col("level") <= 2), "section").when(head, "sub")
+    lines = lines.withColumn("_own", own).withColumn("kind", F.last("_own", ignorenulls=True).over(run))
+    lines = lines.withColumn("title", F.first(F.when(head, F.col("name")), ignorenulls=True).over(run)).withColumn("sec", F.sum((F.col("_own") == "section").cast("int")).over(run))
+    lines = lines.withColumn("sec", F.coalesce("sec", F.lit(0))).withColumn("section", F.coalesce(F.last(F.when(F.col("_own") == "section", F.col("name")), ignorenulls=True).over(run), F.lit("Untitled section")))
+    inner = W.partitionBy(key, "sec").orderBy("pos")
+    lines = lines.withColumn("sub", F.coalesce(F.sum((F.col("_own") == "sub").cast("int")).over(inner), F.lit(0)))
+    return lines.withColumn("subsection", F.last(F.when(F.col("_own") == "sub", F.col("name")), ignorenulls=True).over(inner)).drop("_heads", "_own")
+
+
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The body lines of Markdown documents with title, section and subsection carried forward.
+
+    The first heading of any level is the title. A heading that says abstract opens the abstract, one
+    of level 1 or 2 a section, a deeper one a subsection; lines before any of these are lost.
+    """
+    body = headed(docs, key, text).where((F.col("level") == 0) & F.col("kind").isin("abstract", "section", "sub"))
+    is_abstract = F.col("kind") == "abstract"
+    return body.select(
+        key, "pos", "title", F.when(is_abstract, "Abstract").otherwise(F.col("section")).alias("section"), F.when(F.col("kind") == "sub", F.col("subsection")).alias("subsection"), is_abstract.alias("is_abstract"), "line",
+    )

@@ -7,6 +7,8 @@ NGRAM_STOPWORDS = (
 TOPIC_STOPWORDS = sorted({*NGRAM_STOPWORDS, *"the of and to in is was that for it with as on be at by this from are der die das und ist von zu mit sich auf für nicht el los las que con una para del".split()})
 #: (ord, tag, keyword, keyword's ord).
 TAGS = [(i, tag, kw, j) for i, (tag, kws) in enumerate([("#THE", ["the", "thing"]), ("#SCH", ["schen", "sch"]), ("#CION", ["cion"]), ("#EAU", ["eauxe", "eaux"]), ("#HEIT", ["heit"])]) for j, kw in enumerate(kws)]
+#: The same for the older tagger: lines as they are in its file.
+TAG_LINES = ["#THE,the,thing\n", "#SCH,schen,sch\n", "#CION,cion,eaux\n", "#EAU,eauxe,eaux \n", "#SC,sch,heit\n", "#HEIT,heit"]
 #: (ord, id, label, keywords).
 ONTOLOGY = [(0, "en", "English forms", ["the", "and", "that"]), (1, "de", "German forms", ["und", "der", "nicht"]), (2, "fr", "French forms", ["les", "une", "pour"]), (3, "none", "Never found", ["zzzz"])]
 #: (canonical, variants), applied in order, so chains hold.

@@ -10,6 +10,9 @@ from .dialect import Spark
 #: ASCII punctuation, as ``string.punctuation`` lists it.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACES = r"[ \t\n\x0B\f\r]"
+#: Unusual spaces and dashes; P7: superscripts and subscripts.
+UNUSUAL, USUAL = "\u00a0\u2009\u202f\u2212\u2013\u2014", "   ---"
+SMALL, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻₀₁₂₃₄₅₆₇₈₉₊₋", "0123456789+-0123456789+-"
 #: T5: tokens of the French alphabet; other letters part words.
 FRENCH_TOKEN = "[a-zàâäçéèêëîïôöùûüÿñæœ0-9]+"
 
@@ -113,14 +116,14 @@ def column(f, x: str, *more) -> Column:
 
 def scientific(x) -> Column:
     """Super- and subscripts to ASCII, powers of ten written as ``10^n``."""
-    s = F.translate(c(x), "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻₀₁₂₃₄₅₆₇₈₉₊₋", "0123456789+-0123456789+-")
+    s = F.translate(c(x), SMALL, PLAIN)
     s = F.regexp_replace(s, r"(?U)([x×])\s*10 *([+-]) *(\d+)(?![/\d])", r"$1 10^$2$3")
     return F.regexp_replace(s, r"(?U)(?<![\p{L}\p{N}])10 *([+-]) *(\d+)(?![/\d])", r"10^$1$2")
 
 
 def document_normal(x) -> Column:
     """Dashes and spaces unified, then P5's line rules and P7."""
-    s = F.translate(c(x), "   −–—", "   ---")
+    s = F.translate(c(x), UNUSUAL, USUAL)
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), r"[ \t]+", " "), "\n\n\n+", "\n\n")
     return F.btrim(scientific(s), F.lit(" \t\n\r"))
 

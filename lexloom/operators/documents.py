@@ -84,7 +84,7 @@ def ideas(chunks: DataFrame, plan: DataFrame, generate: generation.Generator = g
     met = chunks.join(plan, key)
     first = generation.generated(met.withColumn("_p", _prompt("Extract all important ideas.")), "_p", "_a", generate)
     found = generation.bullet_lines("_a")
-    answers = F.when(F.size(found) > 0, found).otherwise(split.basic_sentences("_a"))
+    answers = F.when((F.size(found) > 0) | (F.upper(F.trim("_a")) == "NONE"), found).otherwise(split.basic_sentences("_a"))
     one = _first_by_key(first.select(key, "chunk", F.posexplode(answers).alias("pos", "idea")), ["chunk", "pos"], key)
     known = one.groupBy(key).agg(F.transform(_ordered("chunk", "pos", "idea"), lambda s: s["idea"]).alias("_known"))
     per = met.groupBy(key).agg(F.first("title").alias("title"), F.first("plan").alias("plan"), _ordered("chunk", "section", "subsection", "text").alias("_chunks")).join(known, key, "left")

@@ -13,7 +13,7 @@ from ..functions import dictionaries as dic
 from ..functions import predicates as p
 from ..functions import text as tx
 from ..functions.dialect import Spark
-from ..operators import dedup, generation, lexical, numeric, ranges, split, tagging, topics, web
+from ..operators import decks, dedup, documents as sectioned, generation, lexical, naming, numeric, ranges, split, tagging, topics, web
 from ..sources import sinks
 
 QUERIES = {}
@@ -262,11 +262,42 @@ def size_parts(spark, sf_dir):
     return split.posed(documents(spark, sf_dir), split.folded(split.split_by_size, lines, 2000), "part", "doc_id")
 
 
+def markdown(spark, sf_dir):
+    """The texts as Markdown without its other signs: the first line made the title, each fourth other one a heading, some of them of the abstract."""
+    name = lambda s, i: F.when(i % 12 == 5, F.lit("Abstract")).otherwise(s)
+    head = F.transform(F.split("text", "\n"), lambda s, i: F.when(i == 0, F.concat(F.lit("# "), s)).when(i % 4 == 1, F.concat(F.lit("## "), name(s, i))).when(i % 4 == 3, F.concat(F.lit("### "), s)).otherwise(s))
+    return documents(spark, sf_dir).select("doc_id", tx.markdown_off(F.array_join(head, "\n")).alias("text"))
+
+
 @query
 def markdown_sections(spark, sf_dir):
-    """The first line of a text is made a title, each fourth other line a heading."""
-    head = F.transform(F.split("text", "\n"), lambda s, i: F.when(i == 0, F.concat(F.lit("# "), s)).when(i % 4 == 1, F.concat(F.lit("## "), s)).when(i % 4 == 3, F.concat(F.lit("### "), s)).otherwise(s))
-    return split.sections(documents(spark, sf_dir).select("doc_id", tx.markdown_off(F.array_join(head, "\n")).alias("text")))
+    """P8, T16, W3."""
+    return split.sections(markdown(spark, sf_dir))
+
+
+@query
+def doc_plans(spark, sf_dir):
+    """P37."""
+    return sectioned.plans(markdown(spark, sf_dir))
+
+
+@query
+def section_chunks(spark, sf_dir):
+    """T17, T15, P6; small chunks, so that sections are cut."""
+    return sectioned.section_chunks(markdown(spark, sf_dir), 60, 20)
+
+
+@query
+def doc_reports(spark, sf_dir):
+    """Ideas in three passes and figures of each document, with the offline generator."""
+    return sectioned.process(markdown(spark, sf_dir)).select("doc_id", "title", F.size("ideas").alias("n_ideas"), F.size("facts").alias("n_facts"), "report")
+
+
+@query
+def fused_facts(spark, sf_dir):
+    """The fused extraction with its growing lists, with the offline generator."""
+    chunks = split.posed(documents(spark, sf_dir), split.folded(split.pack_words, F.split("text", "\n"), 1000), "text", "doc_id").withColumnRenamed("pos", "chunk")
+    return generation.numeric_and_ideas(chunks).select("doc_id", F.size("numeric").alias("n_numeric"), F.size("ideas").alias("n_ideas"), generation.fused_report().alias("report"))
 
 
 @query
@@ -281,3 +312,91 @@ def doc_summaries(spark, sf_dir):
     """T12, T13, C7, K8, F38."""
     chunks = split.posed(documents(spark, sf_dir), split.folded(split.pack_paragraphs, F.split("text", "\n")), "text", "doc_id").withColumnRenamed("pos", "chunk")
     return generation.summaries(chunks)
+
+
+@query
+def line_segments(spark, sf_dir):
+    """The parts of a turn between line ends, with how many basic sentences each is."""
+    rows = split.posed(table(spark, sf_dir, "conversations"), split.line_segments("text"), "segment", "conv_id", "turn")
+    return rows.withColumn("n", F.size(split.basic_sentences("segment")))
+
+
+@query
+def legacy_tags(spark, sf_dir):
+    """The older tagger, whose tags suppress one another, with an empty last keyword."""
+    return tagging.legacy_tags(documents(spark, sf_dir), dic.TAG_LINES)
+
+
+@query
+def ontology_single(spark, sf_dir):
+    """A6, A8, L1, O2's labels: the dominant category alone, of the first five sentences of each text."""
+    return tagging.classify(sentences(spark, sf_dir), dic.ONTOLOGY, dic.SYNONYMS, multi=False, most=5).drop("sentence", "normalized", "rewritten")
+
+
+@query
+def word_order(spark, sf_dir):
+    """O1."""
+    return lexical.word_order(documents(spark, sf_dir))
+
+
+def visits(spark, sf_dir):
+    """Pages as fetched: each twelfth with an HTTP error; dates of 2024 in the path of others."""
+    pages = table(spark, sf_dir, "pages").withColumn("code", F.when(F.col("page_id") % 12 == 0, 404).otherwise(200))
+    dated = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/2024/x"))).when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/2023/x"))).otherwise(F.col("url"))
+    marked = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<time datetime="x"></time>'), "html")).otherwise(F.col("html"))
+    return web.visited(pages.withColumn("url", dated).withColumn("html", marked), current=2024)
+
+
+@query
+def crawl_visits(spark, sf_dir):
+    """The journal row of each page."""
+    return visits(spark, sf_dir).select("page_id", "url", "status", "year", "file", "detail")
+
+
+@query
+def crawl_stats(spark, sf_dir):
+    """A12."""
+    return web.crawl_stats(visits(spark, sf_dir))
+
+
+@query
+def crawl_quota(spark, sf_dir):
+    """At most three pages more a host, those that the journal has not seen."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.substring_index(tx.column(tx.domain, "url"), ".", -1).alias("site"))
+    journal = pages.where("page_id % 4 = 0").select("url", F.when(F.col("page_id") % 8 == 0, "saved").otherwise("error").alias("status"))
+    return web.at_most(pages, journal, ["page_id"], most=20)
+
+
+@query
+def rename_plan(spark, sf_dir):
+    """A name from the first line and the latest year of the text."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("file-"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".pdf")).alias("old"), F.substring_index("text", "\n", 1).alias("title"), naming.document_year(F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("text")).alias("year"))
+    return naming.rename_plan(rows)
+
+
+@query
+def rename_counts(spark, sf_dir):
+    """A15."""
+    return naming.counters(rename_plan(spark, sf_dir))
+
+
+@query
+def turn_corrections(spark, sf_dir):
+    """Doubled words of the turns corrected outside of protected spans; what was done."""
+    import pandas as pd
+
+    def check(text):
+        import re
+
+        return [decks.Match(m.start(), m.end() - m.start(), [m[1]], issue="duplication") for m in re.finditer(r"\b(\w+) \1\b", text)]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for conv, turn, text in zip(pdf["conv_id"], pdf["turn"], pdf["text"]):
+                told = decks.Counts()
+                new = decks.corrected(text or "", check, (), told)
+                rows.append((conv, turn, told.applied, told.ignored, told.protected, new))
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "applied", "ignored", "protected", "text"])
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, applied long, ignored long, protected long, text string")

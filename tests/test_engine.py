@@ -11,7 +11,7 @@ from lexloom.functions import dictionaries as dic
 from lexloom.functions import predicates as p
 from lexloom.functions import text as tx
 from lexloom.functions.dialect import Spark
-from lexloom.operators import dedup, generation, lexical, naming, numeric, ranges, split, tagging, topics, web
+from lexloom.operators import decks, dedup, documents, generation, lexical, naming, numeric, ranges, split, tagging, topics, web
 from lexloom.sources import files, sinks
 from lexloom.streaming import streams
 
@@ -222,6 +222,266 @@ def test_streams(spark, tmp_path):
     assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
+def test_letters_with_marks(spark):
+    import unicodedata
+
+    words = ["Łódź Dvořák", "Ångström ǆ Ǆ", "Việt Nam", "İstanbul", "e\u0301te\u0301", "straße œuf", "ΆΈ й ё", "ﬁ ①"]
+    bare = ["".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn") for w in words]
+    assert one(spark, F.expr(Spark.accents("x")), *words) == bare and bare[0] == "Łodz Dvorak"
+    assert one(spark, naming.plain_name("x"), "Dvořák.PDF") == ["dvorak.pdf"]
+
+
+FLAGGED = [
+    ("25°C was reached", "unit"), ("It took 5 ms", "unit"), ("a 3 % share", "unit"), ("p.p.m.x", "unit"), ("5.3 ± 0.2", "measure"), ("1.2(3)x", "measure"), ("3 x 10^-7", "measure"), ("1e5", "measure"), ("It was found", "verb"),
+    ("12. Smith", "reference_entry"), ("Nature 5 (2020)", "journal"), ("Phys. Rev. 1, 2-3", "journal"), ("Doe et al (2019)", "journal"), ("Fig. 3a shows", "caption"), ("Extended data table 2", "caption"), ("a | b | c", "axis_fragment"),
+    ("time (s) axis", "axis_fragment"), ("1 2.5 -3 only", "axis_fragment"), ("Alpha beta gamma", "axis_fragment"), ("Signal (a.u.) one two", "axis_fragment"), ("3 of 10 pages", "page_counter"), ("1.2 Methods", "section_title"), ("Appendix", "section_title"),
+    ("https://x.y", "metadata"), ("see doi 10", "metadata"), ("by smith, J. and", "reference_fragment"), ("a (b) ; c (d) ; e ;", "reference_fragment"), ("But this goes on and on for some time", "incomplete"), ("Short one", "incomplete"), ("and so on", "continuation"), ("] rest", "continuation"), ("No unit here at all?", None), ("Alpha beta", None),
+]
+
+
+def test_each_flag_by_example(spark):
+    for x, flag in FLAGGED:
+        got = spark.createDataFrame([(x,)], "x string").select(*(p.column(f, "x").alias(n) for n, f in p.FLAGS.items())).first().asDict()
+        if flag:
+            assert got[flag], (x, flag)
+        else:
+            assert not got["unit"] and not got["axis_fragment"] and not got["measure"], (x, got)
+
+
+MARKDOWN = "# T\nlost\n## Abstract\nsum one\nsum two\n### Early\nwords of early\n## S1\nx of s1\n### S1a\ny of s1a\n### S1b\n## S2\nz of s2"
+
+
+def test_plans_and_section_chunks(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, "plain text\nwithout headings"), (3, "# Only title\nlost")], "doc_id long, text string")
+    plans = {r.doc_id: (r.title, r.plan) for r in documents.plans(docs).collect()}
+    assert plans[1] == ("T", "TITLE: T\nABSTRACT: present\n1. Untitled section\n   1.1 Early\n2. S1\n   2.1 S1a\n   2.2 S1b\n3. S2")
+    assert plans[2] == (None, "") and plans[3] == ("Only title", "TITLE: Only title")
+    got = [(r.doc_id, r.section, r.subsection, r.text) for r in documents.section_chunks(docs).orderBy("doc_id", "chunk").collect()]
+    assert got[:5] == [(1, "Abstract", "", "sum one\nsum two"), (1, "Untitled section", "Early", "words of early"), (1, "S1", "", "x of s1"), (1, "S1", "S1a", "y of s1a"), (1, "S2", "", "z of s2")]
+    assert got[5:] == [(2, "Full document", "", "plain text\nwithout headings"), (3, "Full document", "", "# Only title\nlost")]
+
+
+def test_ideas_in_three_passes(spark):
+    """The gap check is told what has been found, also by itself; consolidation replaces the list unless it is silent."""
+    docs = spark.createDataFrame([(1, MARKDOWN)], "doc_id long, text string")
+    chunks, plan = documents.section_chunks(docs), documents.plans(docs)
+
+    def generate(prompt):
+        text = prompt.rpartition("TEXT:\n")[2]
+        if prompt.startswith("Extract"):
+            assert "PLAN:\nTITLE: T" in prompt
+            return "NONE" if "sum" in text else f"- idea of {text.split()[-1]}"
+        if prompt.startswith("Return only"):
+            told = prompt.split("ALREADY FOUND:\n")[1]
+            return "NONE" if "extra" in told else "- extra idea\n- idea of s1"
+        assert prompt.startswith("Clean") and "- extra idea" in text
+        return text.replace("- idea of s2\n", "").replace("idea of s1a", "Idea of S1A!")
+
+    assert [r.idea for r in documents.ideas(chunks, plan, generate).orderBy("pos").collect()] == ["idea of early", "idea of s1", "Idea of S1A!", "extra idea"]
+    silent = lambda p: "" if p.startswith("Clean") else generate(p)
+    assert [r.idea for r in documents.ideas(chunks, plan, silent).orderBy("pos").collect()] == ["idea of early", "idea of s1", "idea of s1a", "idea of s2", "extra idea"]
+    done = documents.process(spark.createDataFrame([(1, "# Title\n## S\nThe mass was measured at 5.3 kg with a precision of 0.2 percent."), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert done[0].report == "TITRE : Title\n\nLES IDEES DU DOCUMENT :\n- The mass was measured at 5.3 kg with a precision of 0.2 percent.\n\nLES CHIFFRES DU DOCUMENT :\n- ## S The mass was measured at 5.3 kg with a precision of 0.2 percent.\n" or "5.3 kg" in done[0].report
+    assert "No idea extracted." in done[1].report and "Unknown title" in done[1].report
+
+
+def test_fused_extraction(spark):
+    chunks = spark.createDataFrame([(1, 0, "Sales grew 12 % in all. Page 3. Trees are green."), (1, 1, "Nothing here.")], "doc_id long, chunk int, text string")
+    seen = []
+
+    def generate(prompt):
+        if prompt.startswith("Extract"):
+            return "### NUMERIC DATA\n- Sales grew 12 %\n- Page 3\n### IDEAS\n- Trees are green" if "Sales" in prompt else "### NUMERIC DATA\nNONE\n### IDEAS\nNONE"
+        if prompt.startswith("REVIEW"):
+            return "- Sales grew 12 %\nnoise"
+        assert "- Sales grew 12 %\n" in prompt
+        return "### NUMERIC DATA\n- Sales grew 12 %\n### IDEAS\n- more" + ("" if "- more\n" not in prompt else "\n- yet more")
+
+    got = generation.numeric_and_ideas(chunks, generate).first()
+    assert (got.numeric, got.ideas) == (["Sales grew 12 %"], ["Trees are green", "more", "yet more"]) and not seen
+    told = spark.createDataFrame([(["a"], [])], "numeric array<string>, ideas array<string>").select(generation.fused_report()).first()[0]
+    assert told == "## Numeric data\n\n- a\n\n## Ideas\n\n_None found._\n"
+    assert one(spark, generation.bullet_list("x"), "- a\n* b\nc\n-  d\n- ") == [["a", "d"]]
+    assert one(spark, generation.bullet_lines("x"), "- a\n* b\n\nNONE\n3. c  d") == [["a", "b", "c d"]] and generation.lines_of("- a\n* b\n\nNONE\n3. c  d") == ["a", "b", "c d"]
+
+
+def test_older_tagger_and_modes(spark):
+    docs = spark.createDataFrame([(1, "abc def\n\nxyz")], "doc_id long, text string")
+    got = [(r.phrase, r.tags, r.motcle) for r in tagging.legacy_tags(docs, ["#AB,abc,def\n", "#A,def\n", "#X,xyz\n", "#E,q,"]).orderBy("pos").collect()]
+    assert got == [("abc def", "#AB;#E", "abc;"), ("", "#E", ""), ("xyz", "#X;#E", "xyz\n;")]  # #A is part of #AB, the empty word in all
+    rows = spark.createDataFrame([(1, 0, "der the and"), (1, 1, "und"), (1, 9, "the")], "doc_id long, pos int, sentence string")
+    multi = {r.pos: r for r in tagging.classify(rows, dic.ONTOLOGY).collect()}
+    assert (multi[0].all_categories, multi[0].all_labels, multi[0].all_keywords) == ("en;de", "English forms;German forms", "the,and;der")
+    single = {r.pos: r for r in tagging.classify(rows, dic.ONTOLOGY, multi=False, most=5).collect()}
+    assert set(single) == {0, 1} and (single[0].all_categories, single[0].all_scores, single[0].all_keywords) == ("en", "2", "the,and")
+    order = [tuple(r) for r in lexical.word_order(spark.createDataFrame([(2, "b a"), (1, "c a c")], "doc_id long, text string"), []).collect()]
+    assert order == [("c", 2, 1, 0), ("a", 2, 1, 1), ("b", 1, 2, 0)]
+
+
+def test_crawl(spark):
+    def fetch(url):
+        if "down" in url:
+            raise TimeoutError("slow")
+        return (404, "") if "gone" in url else (200, f"<article><time></time>{url}</article>" if "news" in url else "<p>plain")
+
+    pages = web.fetched(spark.createDataFrame([(u,) for u in ("http://s/news/2024/a", "http://s/news/2023/b", "http://s/plain", "http://s/gone", "http://s/down", "http://s/news/c")], "url string"), fetch)
+    got = {r.url.rpartition("/")[2]: (r.status, r.year, r.file, r.detail) for r in web.visited(pages, current=2024).collect()}
+    assert got == {"a": ("saved", 2024, "s_news_2024_a.html", None), "b": ("skipped_year", 2023, None, None), "plain": ("not_article", None, None, None), "gone": ("error", None, None, "404"), "down": ("error", None, None, "TimeoutError: slow"), "c": ("saved", None, "s_news_c.html", None)}
+    assert {r.status: r.n for r in web.crawl_stats(web.visited(pages, article="/news/", current=2024, undated=False)).collect()} == {"saved": 1, "skipped_year": 2, "not_article": 1, "error": 2}
+    when = "<div><span class=\"x date\">Paris, 03/02/2021</span> on 01/01/2020</div>"
+    for selector, want in ((".date", 2021), ("span.date", 2021), ("#no", 2021), (None, 2021)):
+        assert one(spark, F.expr(web.page_year(Spark, "x", "'u'", selector=selector)), when) == [want], selector
+    assert one(spark, F.expr(web.page_year(Spark, "x", "'u'", pattern=r"on (\d\d/\d\d/20\d\d)")), when) == [2020]
+
+    links = {"s0": [("p1", "pagination"), ("a1", "article")], "p1": [("p2", "pagination"), ("s0", "pagination"), ("a2", "article")], "p2": [("p3", "pagination"), ("a1", "article")], "p3": [("a9", "article")]}
+    asked = []
+
+    def read(new):
+        urls = sorted(r.url for r in new.collect())
+        asked.extend(urls)
+        return spark.createDataFrame([(u, *x) for u in urls for x in links.get(u, [])] or [("none", "none", "other")], "url string, link string, class string")
+
+    start = spark.createDataFrame([("site", "s0")], "site string, url string")
+    cached = spark.createDataFrame([("p1", *x) for x in links["p1"]], "url string, link string, class string")
+    articles, cache = web.listing(start, cached, read, most=3)
+    assert [r.url for r in articles.orderBy("place", "url").collect()] == ["a1", "a2"] and asked == ["s0", "p2"]  # p1 from the cache, p3 beyond the bound
+    todo = spark.createDataFrame([("s", i, f"u{i}") for i in range(6)], "site string, o int, url string")
+    seen = spark.createDataFrame([("u0", "saved"), ("u1", "error")], "url string, status string")
+    assert [r.url for r in web.at_most(todo, seen, ["o"], most=3).orderBy("o").collect()] == ["u2", "u3"]
+    robots = spark.createDataFrame([("x.fr", "/no", False), ("x.fr", "/no/yes", True)], "host string, prefix string, allow boolean")
+    urls = spark.createDataFrame([(f"https://x.fr{u}",) for u in ("/no/a", "/no/yes/b", "/a/no", "")] + [("https://y.fr/no",)], "link string")
+    assert sorted(r.link for r in web.allowed(urls, robots).collect()) == ["https://x.fr", "https://x.fr/a/no", "https://x.fr/no/yes/b", "https://y.fr/no"]
+
+
+A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+
+
+def deck(*slides):
+    import io
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in ("ppt/presentation.xml", "_rels/.rels", "ppt/_rels/presentation.xml.rels", "[Content_Types].xml"):
+            z.writestr(name, "<x/>")
+        for i, body in enumerate(slides, 1):
+            z.writestr(f"ppt/slides/slide{i}.xml", f'<p:sld xmlns:p="urn:p" xmlns:a="{A}">{body}</p:sld>')
+    return out.getvalue()
+
+
+def test_decks(spark, tmp_path):
+    import re
+
+    run = lambda t, props="": f"<a:r><a:rPr {props}/><a:t>{t}</a:t></a:r>"
+    text = "<a:p>" + run("I has ", 'b="1"') + run("a a dog", 'i="1"') + "<a:br/>" + run("see https://teh.x teh") + "</a:p>"
+    font = '<a:p><a:r><a:rPr><a:latin typeface="Calibri Light"/></a:rPr><a:t>plain</a:t></a:r></a:p>'
+    table = f'<a:tbl><a:tr><a:tc><a:txBody><a:p>{run("teh")}</a:p></a:txBody></a:tc><a:tc hMerge="1"><a:txBody><a:p>{run("teh")}</a:p></a:txBody></a:tc></a:tr></a:tbl>'
+    good, same, broken = deck(text + font, table), deck(f"<a:p>{run('fine')}</a:p>"), b"no zip"
+
+    def check(t):
+        found = [decks.Match(m.start(), 3, ["the", "tea"]) for m in re.finditer("teh", t)] + [decks.Match(m.start(), 3, ["have"], category="GRAMMAR", issue="other") for m in re.finditer(r"\bhas\b", t)]
+        return found + [decks.Match(m.start(), 3, [], issue="grammar") for m in re.finditer("dog", t)] + [decks.Match(0, 1, ["Me"], rule="STYLE_X") for m in re.finditer("^I ", t)] + [decks.Match(0, 1, ["x"], issue="other") for m in re.finditer("^see", t)]
+
+    files_ = spark.createDataFrame([(f"{tmp_path}/{n}.pptx", d) for n, d in (("good", good), ("same", same), ("broken", broken))], "path string, content binary")
+    done = decks.correct_decks(files_, lambda lang: check, detect=lambda t: ("en", "")).cache()
+    got = {r.path.rpartition("/")[2]: r for r in done.collect()}
+    assert {k: r.status for k, r in got.items()} == {"good.pptx": "CORRECTED", "same.pptx": "UNCHANGED", "broken.pptx": "SKIPPED"} and got["broken.pptx"].reason == "no archive"
+    g = got["good.pptx"]
+    assert (g.applied, g.protected, g.style, g.without, g.ignored, g.fonts, g.slides) == (3, 1, 1, 1, 4, 1, 2)
+    assert decks.summary(done).first()[:] == (3, 1, 1, 1, 0, 3, 4, 1)
+    (tmp_path / "good.pptx").write_bytes(good)
+    assert [r.error for r in decks.replace_files(done).collect()] == [None]
+    with zipfile.ZipFile(tmp_path / "good.pptx") as z:
+        xml, two = z.read("ppt/slides/slide1.xml").decode(), z.read("ppt/slides/slide2.xml").decode()
+    assert files.office_text("good.pptx", (tmp_path / "good.pptx").read_bytes()).split("\n")[0] == "I have a a dogsee https://teh.x the" and 'typeface="Aptos Light"' in xml
+    assert re.findall(r'b="1" ?/><a:t>([^<]*)', xml) == ["I have "] and xml.count("<a:br") == 1 and two.count("the<") == 1 and two.count("teh<") == 1
+    assert decks.language("the cat and the dog " * 30)[0] == "en" and decks.language("short")[0] is None and decks.language("der Hund und die Katze ist da " * 20)[1].endswith("de")
+    assert decks.language_text("see https://a.b now") == "see now"
+    with pytest.raises(ValueError, match="no folder.*no file"):
+        decks.validated(str(tmp_path / "none"), str(tmp_path))
+
+
+def pdf(*pages, extra=b""):
+    import zlib
+
+    out = b"%PDF-1.4\n1 0 obj <</CreationDate (D:20190203) /ModDate (D:2021)>> endobj\n" + extra
+    for i, p in enumerate(pages):
+        body = zlib.compress(p) if i % 2 else p
+        out += b"%d 0 obj <</Length %d%s>> stream\n" % (i + 5, len(body), b" /Filter /FlateDecode" if i % 2 else b"") + body + b"\nendstream endobj\n"
+    return out + b"%%EOF"
+
+
+def test_pdf(spark, tmp_path):
+    data = pdf(b"BT /F1 12 Tf 1 0 0 1 5 5 Tm (Hello \\(a\\) ) Tj T* [(Wor) -20 (ld \\351)] TJ ET", b"BT <48 69> Tj ET", b"q 1 0 0 1 0 0 cm Q")
+    assert files.pdf_pages(data) == ["Hello (a) \nWorld é", "Hi"] and files.pdf_text(data, 1) == "Hello (a) \nWorld é" and files.pdf_dates(data) == ["D:20190203", "D:2021"]
+    with pytest.raises(ValueError):
+        files.pdf_pages(b"x")
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "b.pdf").write_bytes(data)
+    (src / "A.html").write_text("<h1>T</h1>")
+    (src / "~$c.docx").write_bytes(b"")
+    (src / "e.zip").write_bytes(b"z")
+    (src / "enc.pdf").write_bytes(pdf(b"BT (x) Tj ET", extra=b"/Encrypt 3 0 R"))
+    got = {files.local_name(r.path): (r.text, r.error) for r in files.documents(spark, str(src)).collect()}
+    assert got["b.pdf"][0].endswith("Hi") and got["A.html"] == ("# T", None) and "encrypted" in got["enc.pdf"][1]
+    assert [(r.name, r.supported) for r in files.listed(spark, str(src)).collect()] == [("A.html", True), ("b.pdf", True), ("e.zip", False), ("enc.pdf", True)]
+    raw = spark.createDataFrame([("p", b"\x01\x02")], "path string, content binary")
+    images = files.page_images(raw, lambda data, first, dpi: [data, data * 2, data * 3, data * 4])
+    assert images.count() == 3 and raw.select(files.base64_file()).first()[0] == "AQI="
+
+    def ask(image):
+        if len(image) > 4:
+            raise OSError("model")
+        return f"Title {len(image)}"
+
+    titles = files.image_titles(images, ask).first().titles
+    assert titles == ["Title 2", "Title 4", "ERREUR OSError: model"] and files.missing_models(str(src), ("b.pdf", "m.bin")) == ["m.bin"]
+    fetch = lambda video, lang: [" a ", "", "b"] if lang == "en" else (_ for _ in ()).throw(type("NoTranscriptFound", (Exception,), {})())
+    rows = files.transcripts(spark.createDataFrame([("https://youtu.be/abcdefg",), ("none",)], "url string"), fetch).collect()
+    assert [(r.language, r.text, r.code) for r in rows] == [("en", "a\nb", 0), (None, None, 1)]
+    assert files.decode(b"\xe9", ("utf-8:ignore",)) == "" and files.decode(b"\x81", ("utf-8", "cp1252:replace")) == "\ufffd"
+
+
+def test_reports_and_workbooks(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    rows = spark.createDataFrame([("a<b", 1, None), ("é", 2, "x")], "t string, n int, m string").coalesce(1)
+    sinks.xlsx(rows, f"{tmp_path}/r.xlsx")
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        cells = [[("".join(c.itertext())) for c in r] for r in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))[0]]
+        assert all(ElementTree.fromstring(z.read(n)) is not None for n in z.namelist())
+    assert cells == [["t", "n", "m"], ["a<b", "1", ""], ["é", "2", "x"]]
+    sinks.csv_with_mark(rows, f"{tmp_path}/r.csv")
+    assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbft,n,m\na<b,1,\n")
+    done = sinks.named_files(rows, f"{tmp_path}/out", "n", "t", "_extraction.txt").orderBy("name").collect()
+    assert [(r.name, r.bytes, r.error) for r in done] == [("1", 3, None), ("2", 2, None)] and (tmp_path / "out" / "2_extraction.txt").read_text() == "é"
+    (tmp_path / "out" / "sub").mkdir()
+    assert sinks.cleared(spark, f"{tmp_path}/out") == 2 and (tmp_path / "out" / "sub").exists() and sinks.cleared(spark, f"{tmp_path}/out", tree=True) == 1 and not (tmp_path / "out").exists()
+    journal = spark.createDataFrame([("u", "saved", None)], "url string, status string, detail string")
+    assert files.journal(spark, f"{tmp_path}/j").count() == 0
+    sinks.save_journal(journal, f"{tmp_path}/j")
+    sinks.save_journal(journal, f"{tmp_path}/j")
+    assert files.journal(spark, f"{tmp_path}/j").count() == 2
+    named = spark.createDataFrame([("x-10.md", "C"), ("notes.md", "D"), ("x-2.md", "B")], "n string, t string").select("t", *sinks.by_number("n"))
+    assert named.agg(sinks.joined(["_none", "_number", "_name"], "t", "|")).first()[0] == "B|C|D"
+
+
+def test_growing_lists(spark, tmp_path):
+    src = tmp_path / "s"
+    src.mkdir()
+
+    def run():
+        stream = spark.readStream.schema("doc_id long, item string").json(str(src))
+        streams.once(streams.growing_lists(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+
+    (src / "1.json").write_text('{"doc_id": 1, "item": "a"}\n{"doc_id": 1, "item": "b"}\n{"doc_id": 1, "item": "a"}\n{"doc_id": 2, "item": "a"}\n')
+    run()
+    (src / "2.json").write_text('{"doc_id": 1, "item": "b"}\n{"doc_id": 1, "item": "c"}\n{"doc_id": 2, "item": null}\n')
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id, r.place, r.item) for r in got) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "a")]
+
+
 def test_queries_have_columns_and_oracles():
     import __spark_entry__
 

@@ -81,6 +81,7 @@ def schedule(per: DataFrame, most: int = 3, fine: int = FINE) -> DataFrame:
     cells = rows.where("_hi > _lo").withColumn("_cell", F.explode(F.sequence(F.expr("_lo div greatest(1, 4294967296 div _sources)"), F.expr("(_hi - 1) div greatest(1, 4294967296 div _sources)"))))
     chunks = rows.groupBy("_tier").agg(F.max("_n").alias("_slots"), F.max(width).alias("_width"))
     chunks = chunks.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_slots - 1) div {_CHUNK}"))))
+    chunks = chunks.repartition(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so that no one task makes all slots
     points = chunks.select("_tier", "_width", F.explode(F.sequence(F.expr(f"_c * {_CHUNK}"), F.expr(f"least(_slots, (_c + 1) * {_CHUNK}) - 1"))).alias("slot"))
     point = F.expr(f"(((slot div 65536) * {GOLDEN}L % 4294967296L) * 65536 + (slot % 65536) * {GOLDEN}L) % 4294967296L")  # slot * GOLDEN, without overflow
     points = points.withColumn("_p", point).withColumn("_cell", F.expr("_p div _width"))
@@ -91,14 +92,14 @@ def schedule(per: DataFrame, most: int = 3, fine: int = FINE) -> DataFrame:
     return hit.select("_tier", "slot", at.alias("at"), "_source", F.col("rank").cast("long").alias("rank"), F.expr("rank % _blocks").alias("block"), F.expr("rank div _blocks").alias("pass"), F.col("_block").alias("tokens"))
 
 
-def _taken_blocks(slots: DataFrame, per: DataFrame) -> DataFrame:
+def _taken_blocks(slots: DataFrame) -> DataFrame:
     """Per (_source, block) with slots: _times, _first (its first slot), _upto (tokens taken of the blocks before it)."""
     times = slots.groupBy("_source", "block").agg(F.count("*").alias("_times"), F.min("slot").alias("_first"), F.first("tokens").alias("_b"))
     before = W.partitionBy("_source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     return times.withColumn("_upto", F.coalesce(F.sum(F.col("_times") * F.col("_b")).over(before), F.lit(0)))
 
 
-def _streams(docs: DataFrame, per: DataFrame, rows: DataFrame, narrow: DataFrame) -> DataFrame:
+def _streams(per: DataFrame, rows: DataFrame, narrow: DataFrame) -> DataFrame:
     """``rows`` with _start and _end, their tokens' places in the shuffled stream of their source, and _total, _target, _tokens (of a block)."""
     bucket = F.substring("_hash", 1, HEX).alias("_bucket")
     parts = narrow.groupBy("_source", bucket).agg(F.sum("_size").alias("_sum"))
@@ -120,13 +121,13 @@ def _planned(docs: DataFrame, most: int, fine: int, key: str) -> tuple[DataFrame
 
 
 def mix(docs: DataFrame, most: int = 3, key: str = "doc_id", carry: tuple[str, ...] = (), fine: int = FINE) -> DataFrame:
-    """Per row: ``key``, size, source_size, target, taken (tokens the slots take of it), first_slot (the first that reads of it), ``carry``."""
+    """Per row: ``key``, size, source_size, target, taken (tokens the slots take of it), first_slot (the first that takes the block of its first token), ``carry``."""
     narrow, per, slots = _planned(docs, most, fine, key)
-    blocks = _taken_blocks(slots, per)
+    blocks = _taken_blocks(slots)
     last = F.least(F.col("_b"), F.col("_total") - F.col("block") * F.col("_b"))
     took = blocks.join(per.select("_source", "_total"), "_source").groupBy("_source").agg(F.sum(F.col("_times") * last).alias("_took"))
     per = per.join(took, "_source", "left").withColumn("_took", F.coalesce("_took", F.lit(0)))
-    rows = _streams(docs, per, sized(docs, key=key, carry=carry) if carry else narrow, narrow)
+    rows = _streams(per, sized(docs, key=key, carry=carry) if carry else narrow, narrow)
     rows = rows.withColumn("_i", F.expr("_start div _tokens")).withColumn("_j", F.expr("_end div _tokens"))
     spread = (lambda df: F.broadcast(df)) if blocks.count() <= BROADCAST_ROWS else (lambda df: df)  # a checked size
     for name in ("_i", "_j"):  # the blocks of the row's first token and of the one behind its last
@@ -148,7 +149,7 @@ def sequence(docs: DataFrame, most: int = 3, key: str = "doc_id", fine: int = FI
     row for each block that it reaches into.
     """
     narrow, per, slots = _planned(docs, most, fine, key)
-    rows = _streams(docs, per, narrow, narrow).where("_size > 0").withColumn("block", F.explode(F.sequence(F.expr("_start div _tokens"), F.expr("(_end - 1) div _tokens"))))
+    rows = _streams(per, narrow, narrow).where("_size > 0").withColumn("block", F.explode(F.sequence(F.expr("_start div _tokens"), F.expr("(_end - 1) div _tokens"))))
     met = rows.join(slots, ["_source", "block"])
     begin, end = F.greatest(F.col("_start"), F.col("block") * F.col("_tokens")), F.least(F.col("_end"), (F.col("block") + 1) * F.col("_tokens"))
     return met.select("at", F.col("_tier").alias("tier"), "slot", F.col("_source").alias("source"), F.col("_id").alias(key), F.col("pass"), (begin - F.col("_start")).alias("first"), (end - begin).alias("words"))

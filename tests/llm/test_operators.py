@@ -698,6 +698,8 @@ def test_removed_spans(spark, empty):
     got = {r.doc_id: r for r in decontaminate.remove(docs, bench).collect()}
     assert set(got) == {1, 3, 4} and got[1].text == f"Start, {rest}. ! End {rest}" and got[1].n_chars == len(got[1].text)
     assert (got[3].text, got[3].n_chars, got[4].text, got[4].spans) == ("clean", 5, None, "k")
+    nameless = spark.createDataFrame([(None, passage), (7, passage)], "item_id long, text string")
+    assert [(r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.find(docs, nameless)).where("doc_id = 2").collect()] == [(14, 1)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digest(decontaminate.find(docs, none)).where("contaminated or n_hit > 0 or n_items > 0").count() == 0
     assert decontaminate.find(empty, bench).count() == 0

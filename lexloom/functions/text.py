@@ -141,13 +141,13 @@ def markdown_off(x) -> Column:
     return F.array_join(F.transform(lines, line), "\n")
 
 
-_ABBREVIATIONS = "al dr eq eqs fig figs inc jr ltd mr mrs ms no nos prof ref refs sr vs"
+ABBREVIATIONS = "al dr eq eqs fig figs inc jr ltd mr mrs ms no nos prof ref refs sr vs"
 
 
 def protect_abbreviations(x) -> Column:
     """P12; ``restore_abbreviations`` undoes the mark."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c(x), r"(?i)\bet al\.", "et al"), r"(?i)\be\.g\.", "eg"), r"(?i)\bi\.e\.", "ie")
-    return F.regexp_replace(s, rf"(?i)\b({_ABBREVIATIONS.replace(' ', '|')})\.", "$1<DOT>")
+    return F.regexp_replace(s, rf"(?i)\b({ABBREVIATIONS.replace(' ', '|')})\.", "$1<DOT>")
 
 
 def restore_abbreviations(x) -> Column:

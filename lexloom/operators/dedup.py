@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .shared import ranked
 
 
 def first_rows(df: DataFrame, key: Column | str, order: list, by: list[str] | None = None) -> DataFrame:
@@ -34,8 +34,7 @@ def best_of(df: DataFrame, key: Column | str, score: str, text: str, by: list[st
 
 
 def rank_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Conflicting names get _2, _3, … before the extension, in the given order."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(order))
+    """Conflicting names get _2, _3, … before the extension, in the given order; also a name that most rows have."""
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"\.[^.]*$", 0)
-    out = df.withColumn("_n", n)
+    out = ranked(df, [name], [order], "_n")
     return out.withColumn(name, F.when(F.col("_n") > 1, F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext)).otherwise(F.col(name))).drop("_n")

@@ -140,16 +140,24 @@ select id doc_id, (row_number() over (partition by id order by g, k) - 1)::int p
 
 _COUNT = r"len(regexp_extract_all(line, '[^ \t\n\r\f\v]+'))"
 ORACLES["chunk_words"] = _greedy(f"select *, {_COUNT} n from ({_LINES_OF})", 120, r"array_to_string(regexp_extract_all(line, '[^ \t\n\r\f\v]+')[k * 120 + 1 : k * 120 + 120], ' ')", "(n + 119) // 120")
-ORACLES["chunk_chars"] = (
-    _greedy(f"select *, length(line) + 2 n from ({_LINES_OF})", 700, "substr(line, k * 700 + 1, 700)", "(n - 2 + 699) // 700")
-    .replace("n > 700 then null", "n - 2 > 700 then null").replace("s.n > 700 or", "s.n - 2 > 700 or").replace("when s.n > 700", "when s.n - 2 > 700").replace("case when n > 700", "case when n - 2 > 700")
-)
+
+
+def _chars(most: int) -> str:
+    """Packing by characters, two more a line; a line's own length, without these, tells whether it is cut."""
+    sql = _greedy(f"select *, length(line) + 2 n from ({_LINES_OF})", most, f"substr(line, k * {most} + 1, {most})", f"(n - 2 + {most - 1}) // {most}")
+    for over in (f"n > {most} then null", f"s.n > {most} or", f"when s.n > {most}", f"case when n > {most}"):
+        sql = sql.replace(over, over.replace("n >", "n - 2 >"))
+    return sql
+
+
+ORACLES["chunk_chars"] = _chars(700)
 
 
 def _packed_lines(src: str, most: int, least: int) -> str:
     """T15 over ``src`` (id, part, i, line): parts are packed by themselves; gives id, part, h, chunk."""
     return rf"""
-src as (select id, part, row_number() over (partition by id, part order by i) i, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) line from ({src}) where not regexp_full_match(line, '[ 	]*')),
+src as (select id, part, row_number() over (partition by id, part order by i) i, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) line from ({src}) where not regexp_full_match(line, '[ 	
+]*')),
 sized as (select *, len(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) n from src),
 f(id, part, i, g, size) as (select id, part, i, 1, n from sized where i = 1 union all
   select s.id, s.part, s.i, f.g + case when f.size + s.n > {most} then 1 else 0 end, case when f.size + s.n > {most} then s.n else f.size + s.n end from f join sized s on s.id = f.id and s.part = f.part and s.i = f.i + 1),
@@ -235,6 +243,73 @@ plan as (select path, old, case when k > 1 then regexp_replace(new, '\\.[^.]*$',
 """
 ORACLES["rename_plan"] = f'with {_RENAMES} select path, old, new, "action" from plan'
 ORACLES["rename_counts"] = f'with {_RENAMES} select "action", count(*) n from plan group by 1'
+
+
+def _cut(x: str) -> str:
+    """Trimmed parts at white space behind . ! ? and at line ends, empty ones out."""
+    return rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace({x}, '([!.?])[\s\v]+', '\1' || chr(31), 'g'), '\n+', chr(31), 'g'), chr(31)), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda y: y <> '')"
+
+
+def _answer(src: str, keep: str, body: str = "body") -> str:
+    """The offline generator's answer ``a`` to each row's ``body``: three sentences with figures, else two."""
+    return f"""select {keep}, array_to_string(list_transform(case when len(d) > 0 then d[1:3] else p[1:2] end, lambda y: '- ' || y), chr(10)) a
+  from (select *, list_filter(p, lambda y: regexp_matches(y, '[0-9]')) d from (select *, {_cut(body)} p from ({src})))"""
+
+
+ORACLES["doc_summaries"] = f"""
+with chunks as ({_chars(7000)}), notes as ({_answer('select doc_id, pos, chunk body from chunks', 'doc_id, pos')}),
+grouped as (select doc_id, pos // 6 g, string_agg(a, chr(10) order by pos) body from notes group by all), merged as ({_answer('from grouped', 'doc_id, g')}),
+whole as (select doc_id, string_agg(a, chr(10) order by g) body from merged group by all), done as ({_answer('from whole', 'doc_id')})
+select doc_id, case when trim(a) = '' then 'ERREUR : résumé vide' else a end summary from done
+"""
+_GREEDY_1000 = _greedy(f"select *, {_COUNT} n from ({_LINES_OF})", 1000, r"array_to_string(regexp_extract_all(line, '[^ \t\n\r\f\v]+')[k * 1000 + 1 : k * 1000 + 1000], ' ')", "(n + 999) // 1000")
+_BULLETS = r"list_filter(list_transform(list_filter(list_transform(string_split(a, chr(10)), lambda y: trim(y)), lambda y: y <> '' and upper(y) <> 'NONE'), lambda y: trim(regexp_replace(regexp_replace(regexp_replace(y, '^- ', ''), '^\s*[-•*\d.)(]+\s*', ''), '[\s\v]+', ' ', 'g'), ' -•*')), lambda y: y <> '')"
+ORACLES["doc_ideas"] = rf"""
+with chunks as ({_GREEDY_1000}), back as (select doc_id, pos, array_to_string(list_reverse(string_split(regexp_replace(chunk, '([.!?])[\s\v]+', '\1' || chr(31), 'g'), chr(31))), chr(10)) body from chunks),
+asked as ({_answer('select doc_id, pos, 1 pass, chunk body from chunks union all select doc_id, pos, 2, body from back', 'doc_id, pos, pass')}),
+lines as (select doc_id, pos chunk, pass, unnest(range(len(b)))::int pos, unnest(b) raw from (select *, {_BULLETS} b from asked)),
+ideas as (select doc_id, pass, chunk, pos, {tx.idea(Duck, 'raw')} idea from lines), keyed as (select *, {tx.idea_key(Duck, 'idea')} k from ideas)
+select doc_id, pass, chunk, pos, idea from keyed where k <> '' qualify row_number() over (partition by doc_id, k order by pass, chunk, pos) = 1
+"""
+
+
+def _spaced(x: str) -> str:
+    """P6 and P7; what follows and what precedes a power of ten is matched and put back."""
+    x = rf"regexp_replace(regexp_replace(regexp_replace(translate({x}, '{tx.UNUSUAL}', '{tx.USUAL}'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+    x = rf"regexp_replace(translate({x}, '{tx.SMALL}', '{tx.PLAIN}'), '([x×])[\s\v]*10 *([+-]) *(\d+)($|[^/\d])', '\1 10^\2\3\4', 'g')"
+    return rf"trim(regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}])10 *([+-]) *(\d+)($|[^/\d])', '\110^\2\3\4', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _numeric(x: str) -> str:
+    """P13."""
+    x = rf"regexp_replace(regexp_replace(regexp_replace({_spaced(x)}, '\([\s\v]+', '(', 'g'), '[\s\v]+\)', ')', 'g'), '[\s\v]+', ' ', 'g')"
+    return rf"trim(regexp_replace(trim({x}, ' -•;,' || chr(9)), '(?i)^\s*(refs?\.?|\d+\.|\[\d[\d, ]*\])\s+', ''))"
+
+
+_HOLD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)\bet al\.', 'et al', 'g'), '(?i)\be\.g\.', 'eg', 'g'), '(?i)\bi\.e\.', 'ie', 'g'), '(?i)\b(" + tx.ABBREVIATIONS.replace(" ", "|") + r")\.', '\1<DOT>', 'g')"
+_GOES_ON = r"(regexp_matches({x}, '^(\p{{Ll}}|[)\],;:%])') or regexp_matches({x}, '(?i)^(but|and|or|including|respectively|while|whereas|with) '))"
+_OPEN = r"(length({x}) < 30 or regexp_matches({x}, '[(,:;\[]\s*$') or regexp_matches({x}, '(?i)^(but|and|or|including|such as|while|whereas|with) ') or regexp_matches({x}, '(?i)\b(including|that|where|whereas|which|while|compared with|respectively)\s*$'))"
+_has = lambda x: p.number(Duck, x)
+_JOINS = f"{_has('a[-1]')} and {_OPEN.format(x='a[-1]')} or {_has('x[1]')} and {_GOES_ON.format(x='x[1]')} or {_has('a[-1]')} and {_has('x[1]')} and length(a[-1]) < 45"
+_no = lambda x, *fs: " and ".join([p.number(Duck, x), *(f"not {f(Duck, x)}" for f in fs)])
+_SPLIT = r"list_transform(string_split_regex(h, '\n\n+'), lambda q: string_split(regexp_replace(replace(q, chr(10), ' '), '([.!?;])[\s\v]+([\p{Lu}\d(\[])', '\1' || chr(31) || '\2', 'g'), chr(31)))"
+ORACLES["numeric_facts"] = f"""
+with d as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda q: trim(q, ' ' || chr(9) || chr(10) || chr(13))), lambda q: length(q) >= 1) ps from documents),
+paras as (select * from (select doc_id, (unnest(range(len(ps))))::int para, unnest(ps) paragraph from d) where regexp_matches(paragraph, '[0-9]')),
+held as (select *, {_spaced('paragraph')} n0 from paras), marked as (select *, {_HOLD.format(x='n0')} h from held),
+cuts as (select *, list_filter(list_transform(flatten({_SPLIT}), lambda y: trim(replace(y, '<DOT>', '.'))), lambda y: y <> '') c from marked),
+folded as (select *, case when len(c) = 0 then [] else list_reduce(list_transform(c, lambda y: [y]), lambda a, x: case when {_JOINS} then list_concat(a[1:len(a) - 1], [a[-1] || ' ' || x[1]]) else list_concat(a, x) end) end m from cuts),
+rows_ as (select doc_id, para, (unnest(range(len(m))))::int pos, unnest(m) raw from folded), clean as (select *, {_numeric('raw')} sentence from rows_),
+one as (select doc_id, para, pos, sentence from clean where sentence <> '' and {_no('sentence', p.layout_fragment, p.metadata, p.date_only, p.reference_fragment)}),
+keys as (select doc_id, list({tx.numeric_key(Duck, 'sentence')}) ks from one where length(sentence) >= 25 group by doc_id),
+rest as (select paras.* from paras left join keys using (doc_id) where ks is null or len(list_filter(ks, lambda k: contains({tx.numeric_key(Duck, 'paragraph')}, k))) = 0),
+raws as (select doc_id, para, (unnest(range(len(string_split(paragraph, chr(10))))))::int pos, unnest(string_split(paragraph, chr(10))) raw from rest), two0 as (select *, {_numeric('raw')} sentence from raws),
+two as (select doc_id, para, pos, sentence from two0 where {_no('sentence', p.layout_fragment, p.metadata, p.date_only, p.page_counter, p.caption, p.journal)}),
+every as (select *, row_number() over (partition by doc_id order by pass, para, pos) place from (select *, 0 pass from one union all select *, 1 from two)),
+scored as (select *, {p.score(Duck, 'sentence')} score, {tx.numeric_key(Duck, 'sentence')} k from every),
+best as (select doc_id, k, min(place) place, arg_min(sentence, (-score, -length(sentence), place)) sentence, max(score) score from scored where score >= 1 group by doc_id, k)
+select doc_id, row_number() over (partition by doc_id order by place) pos, sentence, score from best qualify row_number() over (partition by doc_id order by place) <= 400
+"""
 ORACLES["sentiment_pct"] = rf"""
 with x(w, v) as (values {', '.join(f"('{w}', {v}::double)" for w, v in dic.SENTIMENT.items())}), s as ({SENTENCES}),
 t as (select doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+')) w from s), v as (select doc_id, pos, sum(v) t from t join x using (w) group by all),

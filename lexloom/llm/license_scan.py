@@ -2,7 +2,7 @@
 
 A text is cut into pieces at line ends and sentence marks; a piece, or a run of pieces that only
 line ends, colons and semicolons of one paragraph part, is normalised and looked up among known
-licence sentences (texts, headers, notices and tags of some fifty licences, see ``licenses``), so
+licence sentences (texts, headers, notices and tags of 47 licences, see ``licenses``), so
 that wrapped texts and comments are read too. The sequence of identifiers is then matched against
 ordered rules, the first match of each licence counting; a licence whose text another one found
 contains doesn't count.

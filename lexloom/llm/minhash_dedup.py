@@ -3,9 +3,12 @@
 Each distinct shingle set is a node, numbered when the table of sets is written, and has a MinHash
 signature of K = 64 coordinates. A link needs a Jaccard similarity of ``share`` per cent; of two such
 sets, fewer than MATCHES = 36 coordinates agree with a probability below 4.3e-6 at 80 %, less above
-it. Sets are posted under their coordinate-value pairs, the rarest first: two sets that agree in 36
-of 64 pairs share one of their 29 rarest (prefix merging), so the long posting lists are skipped.
-Pairs that no other set has can't collide and only use up the prefix. Within a list, collisions are
+it. Sets are posted under 32 tokens, each the values of two coordinates, the rarest first: two sets
+that share SHARED = 6 tokens share one of their 27 rarest (prefix merging), so the long posting lists
+are skipped. Fewer are shared with a probability below 4.3e-6 even together with the miss above.
+One coordinate a token would let common shingles alone bring unrelated sets together, the more the
+larger the table is; so it is only where ``share`` is less. Tokens that no other set has can't
+collide and only use up the prefix. Within a list, collisions are
 counted on whole signatures; pairs above the threshold that lengths allow make the candidate graph.
 A list of over LIST posts isn't counted in one task: its members become one candidate component.
 
@@ -25,6 +28,8 @@ empty result. Extra columns don't matter. Very long texts are hashed whole, a ta
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +41,8 @@ from .components import components
 from .shingles import K, further, shingle_set, signature, tokens
 
 MATCHES = 36
+#: Tokens of two coordinates that sets alike to 80 % share at least.
+SHARED = 6
 #: Longest posting list that is compared pair by pair; all of a longer one counts as candidates.
 LIST = 3000
 #: A block of a verified group holds about so many shingles or sets at most.
@@ -47,8 +54,8 @@ BROADCAST_ROWS = 50_000
 WIDE_FROM, WIDE = 300, 172
 
 
-def signed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Per row: _id, _th (hash of the text), _n (set size), _key (digest of the set), _sig (a byte a coordinate), _toks."""
+def signed(docs: DataFrame, words: int, key: str, text: str, width: int = 1) -> DataFrame:
+    """Per row: _id, _th (hash of the text), _n (set size), _key (digest of the set), _sig (a byte a coordinate), _toks (``width`` coordinates each)."""
 
     def make():
         def work(ids, hashes, texts):
@@ -57,9 +64,9 @@ def signed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 s = shingle_set(t, words)
                 ns.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                k = tokens(signature(s)) if len(s) else None
-                sigs.append(None if k is None else (k & np.uint64(255)).astype(np.uint8).tobytes())
-                toks.append(None if k is None else k.view(np.int64))
+                sig = signature(s) if len(s) else None
+                sigs.append(None if sig is None else (tokens(sig) & np.uint64(255)).astype(np.uint8).tobytes())
+                toks.append(None if sig is None else tokens(sig, width).view(np.int64))
             return ids, hashes, ns, keys, sigs, toks
 
         return work
@@ -67,12 +74,12 @@ def signed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     return map_rows(docs.select(F.col(key).cast("long"), F.xxhash64(utf8(text)), utf8(text)), make, "_id long, _th long, _n long, _key binary, _sig binary, _toks array<long>")
 
 
-def postings(reps: DataFrame, matches: int) -> DataFrame:
-    """(_t, _df, _node, _n, _sig): the rarest coordinate-value pairs of sets that may have a partner."""
+def postings(reps: DataFrame, least: int) -> DataFrame:
+    """(_t, _df, _node, _n, _sig): the rarest tokens of sets that may have a partner, which shares ``least``."""
     every = reps.select("_node", F.explode("_toks").alias("_t"))
     df = every.groupBy("_t").agg(F.count("*").alias("_df")).where("_df > 1")
-    mine = every.join(df, "_t").groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_l")).where(F.size("_l") >= matches)
-    mine = mine.select("_node", F.explode(F.slice("_l", F.lit(1), F.size("_l") - (matches - 1))).alias("_p"))
+    mine = every.join(df, "_t").groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_l")).where(F.size("_l") >= least)
+    mine = mine.select("_node", F.explode(F.slice("_l", F.lit(1), F.size("_l") - (least - 1))).alias("_p"))
     return mine.join(reps.select("_node", "_n", "_sig"), "_node").select("_p._t", "_p._df", "_node", "_n", "_sig")
 
 
@@ -124,6 +131,11 @@ def candidate_edges(posts: DataFrame, matches: int, share: int) -> DataFrame:
     def flush(part):
         if len(part) < 2:
             return
+        if len(part) == 2:  # most lists
+            (_, u, m, a), (_, v, n, b) = part
+            if 100 * min(m, n) >= share * max(m, n) and sum(map(eq, a, b)) >= matches:
+                yield max(u, v), min(u, v)
+            return
         ids = [r[1] for r in part]
         n, sig, found = np.array([r[2] for r in part]), _signatures([r[3] for r in part]), Classes(len(part))
         for i in range(len(part) - 1):
@@ -265,11 +277,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, matches: i
 
     ``matches`` must suit ``share``: 36 of 64 coordinates are safe from 80 % on.
     """
-    rows, _ = written(signed(docs, words, key, text), "signatures")
+    width, least = (2, SHARED) if share >= 80 else (1, matches)
+    rows, _ = written(signed(docs, words, key, text, width), "signatures")
     first = F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_th").alias("c")))
     sets = rows.where("_n > 0").groupBy("_key").agg(first.alias("_f"), F.count("*").alias("_rows"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_toks").alias("_toks"))
     nodes, _ = written(sets.select("_key", F.monotonically_increasing_id().alias("_node"), F.col("_f.b").alias("_rid"), F.col("_f.c").alias("_rth"), "_rows", "_n", "_sig", "_toks"), "sets")
-    found = components(candidate_edges(postings(nodes, matches), matches, share))
+    found = components(candidate_edges(postings(nodes, least), matches, share))
     edges = links(docs, nodes.select(*_SET), found, words, matches, share, key, text, block_shingles, block_sets)
     clashes = cut(rows.where("_id is not null").groupBy("_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").select("_id"))
     clashing = not clashes.isEmpty()

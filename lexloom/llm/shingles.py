@@ -68,6 +68,10 @@ def further(shingles: np.ndarray) -> np.ndarray:
     return (mixed(shingles[at]) & _U(255)).astype(np.uint8)
 
 
-def tokens(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit value per (coordinate, value)."""
-    return mixed(sig + np.arange(1, K + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))
+def tokens(sig: np.ndarray, width: int = 1) -> np.ndarray:
+    """One 64-bit value per (coordinate, value), or per so many coordinates side by side with their values."""
+    each = mixed(sig + np.arange(1, K + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))
+    out = each[::width]
+    for i in range(1, width):
+        out = mixed(out + _U(0x9E3779B97F4A7C15)) ^ each[i::width]
+    return out

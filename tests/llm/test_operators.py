@@ -262,6 +262,19 @@ def test_long_posting_lists(docs, monkeypatch):
     assert sorted(tuple(r) for r in got if r[0] is not None) == brute_classes(corpus(), 2)[0]
 
 
+def test_unrelated_texts_of_common_words(spark, monkeypatch):
+    """Shingles that many unrelated texts have bring no posts, or these grow faster than the table."""
+    rng = random.Random(11)
+    common = [f"word{i}" for i in range(150)]
+    rows_ = [(i, " ".join(rng.choices(common, k=300))) for i in range(300)]
+    rows_ += [(300 + i, f"{rows_[i][1]} more{i}") for i in range(0, 300, 60)]
+    posts, whole = [], minhash_dedup.candidate_edges
+    monkeypatch.setattr(minhash_dedup, "candidate_edges", lambda p, *more: posts.append(p.count()) or whole(p, *more))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"), words=2).collect()
+    assert sorted(tuple(r) for r in got) == brute_classes(rows_, 2)[0]
+    assert posts[0] < len(rows_)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(25)] + [(7, 7)]

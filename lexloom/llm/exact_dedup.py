@@ -295,7 +295,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple
     table, _ = written(local(docs, key, text, carry, budget), "tries")
     found = owners(table.where("_count is not null"), budget)
     rows = table.where("_number is not null").select("_at", F.col("_ident").cast(docs.schema[key].dataType).alias("_key"), F.col("_number").alias("_mine"), *(f"_x_{c}" for c in carry))
-    met = rows.join(found, F.col("_mine") == F.col("_number"))
+    met = rows.join(found.hint("merge"), F.col("_mine") == F.col("_number"))  # both have a row a document, but exploded numbers are sized by their rows before
     return met.select(
         F.col("_key").alias(key), F.col("_least").alias("keep_id"), F.col("_count").alias("group_size"), (F.col("_at") == F.col("_row")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"), *(F.col(f"_x_{c}").alias(c) for c in carry),

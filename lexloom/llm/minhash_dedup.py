@@ -75,12 +75,16 @@ def signed(docs: DataFrame, words: int, key: str, text: str, width: int = 1) ->
 
 
 def postings(reps: DataFrame, least: int) -> DataFrame:
-    """(_t, _df, _node, _n, _sig): the rarest tokens of sets that may have a partner, which shares ``least``."""
+    """(_t, _df, _node, _n, _sig): the rarest tokens of sets that may have a partner, which shares ``least``.
+
+    Spark sizes an exploded table by its rows before, an array as one value: it would broadcast all
+    tokens of middling inputs. Hence the hints.
+    """
     every = reps.select("_node", F.explode("_toks").alias("_t"))
     df = every.groupBy("_t").agg(F.count("*").alias("_df")).where("_df > 1")
-    mine = every.join(df, "_t").groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_l")).where(F.size("_l") >= least)
+    mine = every.hint("merge").join(df, "_t").groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_l")).where(F.size("_l") >= least)
     mine = mine.select("_node", F.explode(F.slice("_l", F.lit(1), F.size("_l") - (least - 1))).alias("_p"))
-    return mine.join(reps.select("_node", "_n", "_sig"), "_node").select("_p._t", "_p._df", "_node", "_n", "_sig")
+    return mine.hint("merge").join(reps.select("_node", "_n", "_sig"), "_node").select("_p._t", "_p._df", "_node", "_n", "_sig")
 
 
 class Classes:

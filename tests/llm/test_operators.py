@@ -224,6 +224,18 @@ def test_near_duplicates(docs, n, sizes):
     assert sorted(map(repr, (tuple(r)[:3] for r in got if r[0] is None))) == sorted(map(repr, nameless))
 
 
+def test_exploded_tables_are_not_broadcast(spark, tmp_path):
+    """Spark sizes them by their rows before, 32 tokens a row as one value."""
+    reps = spark.range(1000).select(F.col("id").alias("_node"), F.lit(9).cast("long").alias("_n"), F.lit(b"x" * 64).alias("_sig"), F.sequence(F.col("id"), F.col("id") + 31).alias("_toks"))
+    reps.write.parquet(str(tmp_path / "sets"))
+    posts = minhash_dedup.postings(spark.read.parquet(str(tmp_path / "sets")), 6)
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
+    for df in (posts, exact_dedup.dedup(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert posts.count() > 0
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.dialect import Spark
+from .shared import by_steps
 
 Generator = Callable[[str], str]
 
@@ -33,22 +34,13 @@ def answered(generate: Generator, prompt: str | None) -> str:
 
 def generated(prompts: DataFrame, column: str, out: str, generate: Generator = extractive) -> DataFrame:
     """One call a row, by batches in the executors."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda p: answered(generate, p))
-
+    run = by_steps(lambda p: answered(generate, p), pa.string(), "string")
     return prompts.withColumn(out, run.asNondeterministic()(F.col(column)))
 
 
 def folded_rows(df: DataFrame, fold, columns: list[str], out: str) -> DataFrame:
     """``out``: what ``fold`` makes, a list of strings, of the row's columns; for calls that depend on one another."""
-
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([fold(*(None if v is None else v for v in r)) for r in rows.itertuples(index=False)], dtype=object)
-
+    run = by_steps(fold, pa.list_(pa.string()), "array<string>")
     return df.withColumn(out, run.asNondeterministic()(F.struct(*columns)))
 
 

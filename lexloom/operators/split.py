@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .shared import by_steps
 
 
 def posed(df: DataFrame, pieces: Column, name: str, *keep: str) -> DataFrame:
@@ -125,12 +126,7 @@ def split_by_size(lines: list[str], hint: int = 2_000_000) -> list[str]:
 
 def folded(fold, x: Column, *args) -> Column:
     """A greedy fold over each row's array of strings, as an Arrow UDF."""
-
-    @F.pandas_udf("array<string>")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda v: None if v is None else fold(list(v), *args))
-
-    return run(x)
+    return by_steps(lambda v: None if v is None else fold(list(v), *args), pa.list_(pa.string()), "array<string>")(x)
 
 
 ABSTRACTS = ("abstract", "résumé", "summary")

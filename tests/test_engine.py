@@ -168,6 +168,21 @@ def test_tfidf_terms_are_all_there(spark, tmp_path):
     assert {(r.term, r.n) for r in QUERIES["tfidf_terms"](spark, str(tmp_path)).collect()} == {("zebra", 2), ("alpha", 3), ("beta", 3)}
 
 
+def test_python_holds_few_rows_at_a_time(spark):
+    import pyarrow as pa
+
+    seen = []
+    for made, rows in ((split.by_steps(lambda v: v, pa.string(), "string"), pa.array([str(i) for i in range(1000)])), (split.by_steps(lambda a, b: [a, *b], pa.list_(pa.string()), "array<string>"), pa.array([{"a": "x", "b": [str(i)]} for i in range(1000)]))):
+        seen.append(list(made.func(iter([rows, rows.slice(0, 0)]))))
+        assert max(map(len, seen[-1])) <= 64 and sum(map(len, seen[-1])) == 1000
+    assert seen[0][-1][-1].as_py() == "999" and seen[1][-1][-1].as_py() == ["x", "999"]
+    texts = spark.createDataFrame([(i, None if i % 7 == 0 else f"{i}\n" * (i % 5)) for i in range(500)], "i int, x string").coalesce(1)
+    got = {r.i: r.y for r in texts.select("i", split.folded(split.pack_words, F.split("x", "\n"), 2).alias("y")).collect()}
+    assert all(got[i] == (None if i % 7 == 0 else split.pack_words((f"{i}\n" * (i % 5)).split("\n"), 2)) for i in range(500))
+    told = generation.folded_rows(texts.select("i", F.split("x", "\n").alias("l"), F.lit("t").alias("t")), lambda ws, t: [t, str(None if ws is None else len(ws))], ["l", "t"], "y")
+    assert {r.i: r.y for r in told.collect()} == {i: ["t", str(None if i % 7 == 0 else i % 5 + 1)] for i in range(500)}
+
+
 def test_generation(spark):
     dual = spark.createDataFrame([("### NUMERIC DATA\n- 5 %\n### IDEAS\n- idea\ntext",)], "x string").select(generation.two_sections("x").alias("r")).first().r
     assert (dual.numeric, dual.ideas) == (["5 %"], ["idea"])

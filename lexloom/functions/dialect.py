@@ -31,6 +31,7 @@ _MARKED, _BARE = _bare_letters()
 WORD = r"\p{L}\p{N}_"
 #: A boundary before and after a word; both may take one character.
 B, E = rf"(^|[^{WORD}])", rf"($|[^{WORD}])"
+BEHIND, AHEAD = rf"(?<![{WORD}])", rf"(?![{WORD}])"
 
 
 class Spark:
@@ -40,7 +41,18 @@ class Spark:
 
     @classmethod
     def match(cls, x: str, p: str) -> str:
-        return f"rlike({x}, {cls.lit(p)})"
+        """Whether ``p`` is found; boundaries, which only begin and end patterns, look instead of taking a character."""
+        return f"rlike({x}, {cls.lit(p.replace(B, BEHIND).replace(E, AHEAD))})"
+
+    @classmethod
+    def guarded(cls, x: str, p: str, sign: str) -> str:
+        """``match`` for a pattern that is only found where the cheaper ``sign`` is; RE2 needs no such help."""
+        return f"(rlike({x}, {cls.lit(sign)}) and {cls.match(x, p)})"
+
+    @classmethod
+    def held(cls, x: str, words: list[str]) -> str:
+        """That ``x`` contains the words, cheaply, before a pattern that needs them is tried; ends in ``and``."""
+        return "".join(f"contains({x}, {cls.lit(w)}) and " for w in words)
 
     @classmethod
     def count(cls, x: str, p: str) -> str:
@@ -72,6 +84,14 @@ class Duck(Spark):
     def match(cls, x: str, p: str) -> str:
         return f"regexp_matches({x}, {cls.lit(p)})"
 
+    @classmethod
+    def guarded(cls, x: str, p: str, sign: str) -> str:
+        return cls.match(x, p)
+
+    @classmethod
+    def held(cls, x: str, words: list[str]) -> str:
+        return ""
+
     @classmethod
     def count(cls, x: str, p: str) -> str:
         return f"len(regexp_extract_all({x}, {cls.lit(p)}))"

@@ -43,7 +43,7 @@ def date_only(d, x):
 
 def reference_fragment(d, x):
     many = f"{d.count(x, ';')} >= 3 and {d.count(x, '[(]')} >= 2"
-    return f"({d.match(x, any_word('et al'))} and {d.match(x, '[(]')} and {d.match(x, '[)]')} or {d.match(x, r'(^|[^A-Za-z0-9_à-ÿ])[-a-zà-ÿ]+, *[A-Z][.]')} or {many})"
+    return f"({d.match(x, any_word('et al'))} and {d.match(x, '[(]')} and {d.match(x, '[)]')} or {d.guarded(x, r'(^|[^A-Za-z0-9_à-ÿ])[-a-zà-ÿ]+, *[A-Z][.]', ', *[A-Z][.]')} or {many})"
 
 
 def layout_fragment(d, x):

@@ -70,7 +70,7 @@ def synonyms(x: str, rules: list[tuple[str, list[str]]], d=Spark) -> str:
 
 def keyword_hits(d, x: str, words: list[str]) -> str:
     """How many of a category's keywords stand in the sentence as whole words."""
-    return "(" + " + ".join(f"case when {d.match(x, B + r'\s+'.join(map(re.escape, w.split())) + E)} then 1 else 0 end" for w in words) + ")"
+    return "(" + " + ".join(f"case when {d.held(x, w.split())}{d.match(x, B + r'\s+'.join(map(re.escape, w.split())) + E)} then 1 else 0 end" for w in words) + ")"
 
 
 def keywords_found(words: list[str], x: str = "rewritten") -> Column:
@@ -88,7 +88,10 @@ def classify(sentences: DataFrame, ontology, rules=(), least: int = 1, sentence:
     if most:
         sentences = sentences.where(F.col("pos") < most)
     out = sentences.withColumn("normalized", tx.column(tx.ontology_normal, sentence))
-    out = out.withColumn("rewritten", F.expr(synonyms("normalized", list(rules))))
+    out = out.withColumn("rewritten", F.col("normalized"))
+    for canonical, variants in rules:
+        for v in variants:
+            out = out.withColumn("rewritten", F.expr(f"case when {Spark.held('rewritten', [v])}true then {synonyms('rewritten', [(canonical, [v])])} else rewritten end"))
     hits = F.array(*(F.struct((-F.expr(keyword_hits(Spark, "rewritten", kws))).alias("s"), F.lit(label).alias("label"), F.lit(ident).alias("id"), keywords_found(kws).alias("kws")) for _, ident, label, kws in sorted(ontology)))
     out = out.withColumn("_hits", F.array_sort(F.filter(hits, lambda h: h["s"] <= -least)))
     if not multi:

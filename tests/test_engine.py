@@ -52,6 +52,25 @@ def test_score_and_flags(spark):
     assert one(spark, p.column(p.layout_fragment, "x"), "", "12, 3.", "page 3", "a 3") == [True, True, True, False]
 
 
+def test_patterns_are_guarded_alike(spark):
+    """What spares Spark work changes no answer; DuckDB's SQL has no part of it."""
+    import duckdb
+
+    from lexloom.functions.dialect import B, E, Duck
+
+    texts = ["the", "xthe", "thé the", "the\n", "_the", "a  the b", "", "et al (2)", "Doe, J.", "élan, J. x", "x,J.", "9a, B.", "in vitro", "in  vitro", "invitro", "the the"]
+    plain = lambda x, q: one(spark, F.expr(f"rlike(x, {Spark.lit(q)})"), *texts)
+    for words in (["the"], ["in vitro"], ["al"]):
+        told = tagging.keyword_hits(Spark, "x", words)
+        assert "contains" in told and "contains" not in tagging.keyword_hits(Duck, "x", words)
+        assert [bool(v) for v in one(spark, F.expr(told), *texts)] == plain("x", B + r"\s+".join(words[0].split()) + E)
+    sql = p.reference_fragment(Duck, "x")
+    assert one(spark, p.column(p.reference_fragment, "x"), *texts) == [duckdb.execute(f"select {sql} from (select ? x)", [t]).fetchall()[0][0] for t in texts]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(["thee und this", "undt this", "nothing", "auf-thee; thee"])], "doc_id int, pos int, sentence string")
+    got = tagging.classify(rows, dic.ONTOLOGY, dic.SYNONYMS).withColumn("plain", F.expr(tagging.synonyms("normalized", dic.SYNONYMS))).orderBy("doc_id").collect()
+    assert [r.rewritten for r in got] == [r.plain for r in got] == ["the und the", "und the", "nothing", "und-the thee"]
+
+
 def test_tags_and_ontology(spark):
     words = files.keyword_file("#KINE;kinesytherap,kine\n\nbad line\n#DYSP,dyspnee\n#DYSP,essouffle,dyspnee\n")
     docs = spark.createDataFrame([(1, "Kinésithérapie pour DYSPNÉE\nrien")], "doc_id long, text string")

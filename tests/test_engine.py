@@ -64,8 +64,10 @@ def test_patterns_are_guarded_alike(spark):
         told = tagging.keyword_hits(Spark, "x", words)
         assert "contains" in told and "contains" not in tagging.keyword_hits(Duck, "x", words)
         assert [bool(v) for v in one(spark, F.expr(told), *texts)] == plain("x", B + r"\s+".join(words[0].split()) + E)
-    sql = p.reference_fragment(Duck, "x")
-    assert one(spark, p.column(p.reference_fragment, "x"), *texts) == [duckdb.execute(f"select {sql} from (select ? x)", [t]).fetchall()[0][0] for t in texts]
+    assert "(?=[" in Spark.match("x", p.METADATA) and "(?=[0-9])" in Spark.match("x", p.NUMBER) and "(?=[" not in Duck.match("x", p.METADATA)
+    texts += ["Nature 5, 3 - 9", "ISSN", "xissn", "é-mail e-mail", "5 µm", "5µm", "x5", "_5", "5 KG", "MAY 2024", "Fig. 3", "it Showed."]
+    for f in p.FLAGS.values():
+        assert one(spark, p.column(f, "x"), *texts) == [duckdb.execute(f"select {f(Duck, 'x')} from (select ? x)", [t]).fetchall()[0][0] for t in texts], f.__name__
     rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(["thee und this", "undt this", "nothing", "auf-thee; thee"])], "doc_id int, pos int, sentence string")
     got = tagging.classify(rows, dic.ONTOLOGY, dic.SYNONYMS).withColumn("plain", F.expr(tagging.synonyms("normalized", dic.SYNONYMS))).orderBy("doc_id").collect()
     assert [r.rewritten for r in got] == [r.plain for r in got] == ["the und the", "und the", "nothing", "und-the thee"]
